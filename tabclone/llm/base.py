@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +113,24 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last, at = rows[at], end
     if held:
         yield pa.concat_tables(held)
+
+
+def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts cut at spaces and line ends: a code for each piece, the number of pieces of each text, and the distinct pieces."""
+    split = pa.compute.split_pattern(pa.compute.replace_substring(texts, "\n", " "), " ")
+    coded = split.flatten().dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), np.diff(np.asarray(split.offsets)), coded.dictionary
+
+
+def gather(flat: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The slices of flat that codes name, one after another; lens has the length of each slice."""
+    n = lens[codes]
+    ends, starts = np.cumsum(n), np.cumsum(lens) - lens
+    return flat[np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def spread(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of values over neighbouring groups of the given sizes, some of which may be empty."""
+    sums = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]
