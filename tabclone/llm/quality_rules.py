@@ -134,11 +134,11 @@ def learn(rows: list[dict]) -> list[Rule]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> list[Rule]:
-    """The list learnt from the labelled documents with the smallest hashes, LABELLED at most."""
+    """The list learnt from the labelled documents with the smallest hashes, LABELLED at most, that pass the base rule."""
     some = labels.select(F.col(doc_id).alias("id"), F.col(quality).alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
     some = some.withColumn("h", F.xxhash64("id")).orderBy("h", "quality").limit(LABELLED)
     found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(some, "id").select("id", "h", "quality", statistics("text").alias("stats"))
-    rows = found.select("h", (F.col("quality") == 0).alias("bad"), *(c.alias(k) for k, c in features().items())).orderBy("h", *FEATURES).limit(2 * LABELLED).collect()
+    rows = found.where(~base_failed()).select("h", (F.col("quality") == 0).alias("bad"), *(c.alias(k) for k, c in features().items())).orderBy("h", *FEATURES).limit(2 * LABELLED).collect()
     return learn([r.asDict() | {"held": r["h"] // 8 % 3 == 0} for r in rows])
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, kd_shards, packing, quality_rules, token_files, url_filter
+from . import base, bpe, kd_shards, language_id, packing, quality_rules, token_files, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,17 @@ def _tokenizer(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learnt from documents with an id that are not held out."""
+    return language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    told = language_id.label(docs.select("doc_id", "text"), language_model(docs.select("doc_id", "text", "lang")))
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.n_spans")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -65,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_bpe_round_trip, op3_token_files, op4_url_filter, op5_packing, op7_kd_shards, op10_quality_rules)
+    found = (op1_language_id, op2_bpe_round_trip, op3_token_files, op4_url_filter, op5_packing, op7_kd_shards, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
