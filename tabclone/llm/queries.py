@@ -9,14 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, kd_shards, language_id, packing, quality_rules, token_files, url_filter
+from . import base, bpe, kd_shards, language_id, line_dedup, ngram_join, packing, quality_rules, rp_forest, token_files, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
@@ -32,13 +32,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    coded = bpe.encode_decode(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = base.place(spark, "token-files")
-    token_files.write(_documents(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    token_files.write(_documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"), end_id=0)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -61,14 +61,27 @@ SELECT page_id, host, path, split_part(won, ' ', 1) AS rule, coalesce(split_part
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=1, longest=2048)
+    pieces = packing.pack(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=1, longest=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_documents(spark, sf_dir)).select("doc_id", "class_id", "copies", "n_links")
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(_documents(spark, sf_dir), 24)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"), into="removed_chars")
+
+
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return rp_forest.nearest(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     rules = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -76,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_bpe_round_trip, op3_token_files, op4_url_filter, op5_packing, op7_kd_shards, op10_quality_rules)
+    found = (op1_language_id, op2_bpe_round_trip, op3_token_files, op4_url_filter, op5_packing, op6_ngram_jaccard, op7_kd_shards, op8_line_dedup, op9_rp_forest, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
