@@ -1,0 +1 @@
+"""Structurally faithful synthetic clones of confidential tables, on Spark."""
