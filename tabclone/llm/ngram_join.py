@@ -107,11 +107,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, doc_
 
     signed = base.cut(own.mapInArrow(sign, "doc_id bigint, key binary, bands array<bigint>"), "ngram-signatures")
     texts = base.cut(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "ngram-texts")
-    met = texts.select("key", "copies", "bands", F.posexplode("bands").alias("band", "h"))
-    # a bucket with one member, or whose members all share an earlier band, has nothing to add
-    earlier = F.expr(" OR ".join(f"(band > {j} AND min(bands[{j}]) = max(bands[{j}]))" for j in range(bands - 1)))
-    buckets = met.groupBy("band", "h").agg(F.count("*").alias("members"), earlier.alias("seen")).where("members > 1 AND NOT seen")
-    placed = base.cut(met.join(buckets.select("band", "h", "members"), ["band", "h"]), "ngram-buckets")
+    # slim rows until it is known which texts meet any other
+    met = texts.select("key", F.posexplode("bands").alias("band", "h"))
+    shared = met.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1")
+    meeting = base.cut(met.join(shared, ["band", "h"]), "ngram-meeting").join(texts.select("key", "copies", "bands"), "key")
+    # a bucket whose members all share an earlier band has nothing to add
+    earlier = F.expr(" OR ".join(f"(band > {j} AND min(bands[{j}]) = max(bands[{j}]))" for j in range(bands - 1)) or "false")
+    buckets = meeting.groupBy("band", "h").agg(earlier.alias("seen")).where("NOT seen")
+    placed = base.cut(meeting.join(buckets.select("band", "h"), ["band", "h"]), "ngram-buckets")
     needed = placed.select("key").distinct()
     sets = _sets(own.select("key", "text").join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), ngram)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
