@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .errors import BadConditional, BadEvents, BadLadder, BlockedWrite, ConditionalDegraded, FewRows, HighLeakage, HighOverride, MissingPlan, ModeUnset, TooFewRows, warn  # type: ignore[attr-defined]
 from .functions import rng
@@ -15,6 +16,7 @@ from .operators import alias, conditional, copula, events, geo, grain, hygiene,
 from .operators.audit import audit, release_status
 from .plans.plan import Plan
 from .plans.recipe import Recipe, fingerprint
+from .sources.scratch import cut
 
 LEAST_ROWS = 5
 RID = "__rid"
@@ -49,8 +51,6 @@ def with_rid(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """df with __rid: a text of the key columns, which have to be unique; or else a hash of the row and its number among equal rows."""
     if keys:
         return df.withColumn(RID, F.concat_ws("|", *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in keys)))
-    from pyspark.sql.window import Window
-
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     hashed = df.withColumn("__h", F.md5(F.to_json(row)))
     return hashed.withColumn(RID, F.concat_ws("#", "__h", F.row_number().over(Window.partitionBy("__h").orderBy("__h")).cast("string"))).drop("__h")
@@ -88,47 +88,57 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
     grains = grain.resolve(grain.detect_grain(source, plan, tuple(timed) + tuple(linked)), use_grain, mode)
     by_unit = [c for g in grains if g.synthesised == "unit" for c in g.cols]
     numeric = [c for c in numeric if c not in by_unit]
-    out, conditioning, strata = source, {}, []
+    # every operator reads the source and gives (rid, its columns): the plan grows by one join each, whatever came before
+    conditioning, strata = {}, []
+    changes: list[DataFrame] = []
+    own = kinds(source)
+    types = {f.name: f.dataType for f in source.schema.fields}
+    pick = lambda cols: source.select(RID, *(F.col(f"`{c}`") for c in dict.fromkeys(cols) if c != RID))
     protect = plan.cols("treatment")
-    cond = [c for c in plan.cols("treatment") + plan.cols("design", "keep")] if use_conditional else []
+    cond = plan.cols("treatment") + plan.cols("design", "keep") if use_conditional else []
     if numeric:
+        drawn = pick(numeric + cond)
         if cond:
             rung = conditional.ladder(source, [c for c in source.columns if c in cond], protect, numeric, ladder)
             strata = list(rung.used)
             if rung.dropped or rung.fallback > 0:
                 warn(ConditionalDegraded, f"conditioning leaves out {list(rung.dropped)}; {100 * rung.fallback:.1f}% of rows are pooled")
             conditioning = asdict(rung)
-            out = copula.strata(out, strata)
+            drawn = copula.strata(drawn, strata)
             for c in numeric:
-                effects, spread = conditional.shift_effects(source, c, [t for t in rung.shifted]) if rung.shifted else ({}, 1.0)
+                effects, spread = conditional.shift_effects(source, c, list(rung.shifted)) if rung.shifted else ({}, 1.0)
                 if effects:
-                    out = conditional.shift_column(out, effects, f"__shift_{c}").withColumn(c, F.col(f"`{c}`") - F.col(f"__shift_{c}"))
-                    mean = F.avg(c).over(_window())
-                    out = out.withColumn(c, mean + (F.col(f"`{c}`") - mean) * spread)
-            out = copula.resimulate(out, numeric, RID, seed, by=["__stratum"])
-            own = {f.name: f.dataType for f in source.schema.fields}
+                    drawn = conditional.shift_column(drawn, effects, f"__shift_{c}").withColumn(c, F.col(f"`{c}`") - F.col(f"__shift_{c}"))
+                    mean = F.avg(c).over(Window.partitionBy("__stratum"))
+                    drawn = drawn.withColumn(c, mean + (F.col(f"`{c}`") - mean) * spread)
+            drawn = copula.resimulate(cut(drawn, "mask-strata"), numeric, RID, seed, by=["__stratum"])
             for c in numeric:
-                if f"__shift_{c}" in out.columns:
+                if f"__shift_{c}" in drawn.columns:
                     x = F.col(f"`{c}`") + F.col(f"__shift_{c}")
-                    out = out.withColumn(c, (F.rint(x) if kinds(source)[c] == "integer" else x).cast(own[c]))
-            out = out.select(*(F.col(f"`{c}`") for c in source.columns))
+                    drawn = drawn.withColumn(c, (F.rint(x) if own[c] == "integer" else x).cast(types[c]))
         else:
-            out = copula.resimulate(out, numeric, RID, seed)
+            drawn = copula.resimulate(drawn, numeric, RID, seed)
         if shared:
             for c in numeric:
-                out = jitter.jitter(out, c, RID, seed, source)
+                drawn = jitter.jitter(drawn, c, RID, seed, source)
+        changes.append(drawn.select(RID, *(F.col(f"`{c}`") for c in numeric)))
     for s in event_specs:
-        out, _ = events.synthesise(out, s, RID, seed, protect if use_conditional else None, shared)
+        made, _ = events.synthesise(pick([*s.time, *s.status, *(protect if use_conditional else [])]), s, RID, seed, protect if use_conditional else None, shared)
+        changes.append(made.select(RID, *s.time, *s.status))
     moved = [c for c in plan.cols(("covariate", "date", "text"), "scramble", CATEGORICAL + DATES) if c not in by_unit and c not in linked and c not in timed]
-    for c in moved:
-        out = permute.permute_rows(out, c, RID, seed)
+    moved += [c for c in plan.cols("covariate", "alias") if c not in by_unit and c not in linked]
+    changes += [permute.permuted(source, c, RID, seed) for c in moved]
     for g in grains:
         if g.synthesised == "unit":
-            out = grain.synthesise(out, g, RID, seed)
+            made = grain.synthesise(pick([*g.unit, *g.cols]), g, RID, seed)
             if shared:
                 for c in g.cols:
-                    if kinds(source)[c] in NUMERIC:
-                        out = _unit_jitter(out, g, c, seed)
+                    if own[c] in NUMERIC:
+                        made = _unit_jitter(made, g, c, seed, source)
+            changes.append(made.select(RID, *(F.col(f"`{c}`") for c in g.cols)))
+    out = source
+    for new in changes:
+        out = permute.replaced(out, new, RID)
     for c in plan.cols("treatment", "scramble"):
         if c not in linked:
             maps[c] = alias.permuted_map(alias.levels(source, c), seed, c)
@@ -140,8 +150,6 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
         for c in plan.cols(role, "alias"):
             if c in linked:
                 continue
-            if role == "covariate" and c not in by_unit:
-                out = permute.permute_rows(out, c, RID, seed)
             maps[c] = alias.alias_map(alias.levels(source, c), f"{c}_{mark}", seed, c)
     maps |= {c: m for c, m in linked.items() if c in source.columns}
     for c, m in maps.items():
@@ -154,6 +162,8 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
     out = out.select(RID, *(F.col(f"`{c}`") for c in kept))
     clone = Clone(out.drop(RID), recipe, mode)
     if shared if do_audit is None else do_audit:
+        out = cut(out, "mask-clone")
+        clone.data = out.drop(RID)
         clone.columns, clone.joint = audit(source, out, recipe, RID, strata, tuple(linked))
         if clone.status() == "blocked":
             warn(HighLeakage, f"high findings: {[r['col'] for r in clone.columns if r['leakage_class'] == 'high']}")
@@ -163,14 +173,8 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
     return clone
 
 
-def _window():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("__stratum")
-
-
-def _unit_jitter(df: DataFrame, g: grain.Grain, col: str, seed: str) -> DataFrame:
-    """One move for all rows of a unit."""
+def _unit_jitter(df: DataFrame, g: grain.Grain, col: str, seed: str, source: DataFrame) -> DataFrame:
+    """One move for all rows of a unit, within the source's resolution."""
     key = F.concat_ws("\r", *(F.coalesce(F.col(f"`{u}`").cast("string"), F.lit("\0")) for u in g.unit))
     keyed = df.withColumn("__unit", key)
-    return jitter.jitter(keyed, col, "__unit", seed, df).drop("__unit")
+    return jitter.jitter(keyed, col, "__unit", seed, source).drop("__unit")

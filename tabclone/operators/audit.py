@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.kinds import kinds
 from ..functions.patterns import CATEGORICAL, DATES, NUMERIC
+from ..sources.scratch import cut
 from .incidence import constant_within
 from .ranking import hash_index
 
@@ -211,7 +212,8 @@ def audit(original: DataFrame, clone: DataFrame, recipe: Recipe, rid: str, strat
     """Column rows and joint rows.  clone has the plan's names (before column aliases)."""
     plan, mode = recipe.plan, recipe.plan.mode
     seen = [c for c in clone.columns if c != rid]
-    pairs = paired(original.select(rid, *(F.col(f"`{e.col}`") for e in plan.entries if e.col != rid)), _in_original_space(clone, recipe), rid).persist()
+    pairs = paired(original.select(rid, *(F.col(f"`{e.col}`") for e in plan.entries if e.col != rid)), _in_original_space(clone, recipe), rid)
+    pairs = cut(pairs, "audit-pairs")
     own = kinds(original)
     coarse = {c for s in recipe.coords for c in (s["lat"], s["lon"])}
     units = {c: g for g in recipe.grain if g["synthesised"] == "unit" for c in g["cols"]}
@@ -248,7 +250,6 @@ def audit(original: DataFrame, clone: DataFrame, recipe: Recipe, rid: str, strat
             "notes": notes(f), "same_row_pct": same["observed"] if same else None, "baseline_pct": same["baseline"] if same else None, "excess_pct": f.excess,
         })
     found = _joint_rows(original, pairs, rows, strata or [], mode, linked)
-    pairs.unpersist()
     return rows, found
 
 

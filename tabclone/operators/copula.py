@@ -60,9 +60,10 @@ def factor(cov: list[float | None], p: int) -> list[float]:
 
 def normal_scores(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """df with z_<col>: the normal score of each value's average rank (within by)."""
-    for c in cols:
-        df = average_rank(df, c, f"__u_{c}", by)
-    return df.select(*(x for x in df.columns if not x.startswith("__u_")), *(F.expr(qnorm(f"`__u_{c}`")).alias(f"z_{c}") for c in cols))
+    own = df
+    for c in cols:  # every table comes from the rows as they were, so the plan grows by one join a column
+        df = average_rank(df, c, f"__u_{c}", by, own)
+    return df.select(*own.columns, *(F.expr(qnorm(f"`__u_{c}`")).alias(f"z_{c}") for c in cols))
 
 
 def score_covariance(scores: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

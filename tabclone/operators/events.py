@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadEvents, EventsPooled, warn  # type: ignore[attr-defined]
+from ..sources.scratch import cut
 from .copula import resimulate, strata
 from .jitter import jitter
 from .permute import permute_rows
@@ -72,7 +73,8 @@ def synthesise(df: DataFrame, spec: EventSpec, rid: str, seed: str, by: list[str
     moved = permute_rows(own, [*spec.status, *g, "__pattern"], rid, seed, "events", by)
     celled = strata(moved, [*by, "__pattern"], least, "__cell")
     celled = celled.withColumn("__cell", F.when(F.col("__cell") == F.lit("\0fallback"), F.concat(F.lit("\0"), F.col("__pattern"))).otherwise(F.col("__cell")))
-    celled = strata(celled, ["__cell"], least, "__cell")
+    # read several times from here on
+    celled = cut(strata(celled, ["__cell"], least, "__cell"), "events-cells")
     caps = celled.withColumn("__end", sum((F.col(x) for x in g), F.lit(0.0))).groupBy("__cell").agg(F.max("__end").alias("__cap"), *(F.bool_or(F.col(x) != 0).alias(f"__f{x}") for x in g))
     drawn = resimulate(celled, g, rid, seed, "events", ["__cell"])
     if jittered:

@@ -64,9 +64,9 @@ def value_table(rows: DataFrame, value: str, by: list[str] | None = None) -> Dat
     return joined.select(*(F.col(f"l.`{c}`") for c in [*by, value]), F.col("n"), (end - F.col("n") + 1).alias("first"), end.alias("last"), F.col("__total").alias("total"))
 
 
-def average_rank(rows: DataFrame, value: str, into: str, by: list[str] | None = None) -> DataFrame:
-    """rows with into: the average-tie rank over non-null values divided by their number and 1."""
+def average_rank(rows: DataFrame, value: str, into: str, by: list[str] | None = None, source: DataFrame | None = None) -> DataFrame:
+    """rows with into: the average-tie rank over source's (or rows') non-null values divided by their number and 1."""
     by = by or []
-    table = value_table(rows, value, by).withColumn(into, ((F.col("first") + F.col("last")) / 2) / (F.col("total") + 1)).drop("n", "first", "last", "total")
+    table = value_table(rows if source is None else source, value, by).withColumn(into, ((F.col("first") + F.col("last")) / 2) / (F.col("total") + 1)).drop("n", "first", "last", "total")
     on = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by] + [F.col(f"l.`{value}`") == F.col(f"r.`{value}`")]
     return rows.alias("l").join(table.alias("r"), on, "left").select(*(F.col(f"l.`{c}`") for c in rows.columns), F.col(into))
