@@ -84,8 +84,8 @@ def _factors(cov: DataFrame, by: list[str], p: int) -> DataFrame:
 def order_table(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """by, __k and __value: the k-th smallest observed value; a value that many rows share is spread in steps."""
     table = value_table(df, col, by)
-    steps = table.select(*by, F.col(f"`{col}`").alias("__value"), "last", F.explode(F.sequence("first", "last", F.lit(SPREAD))).alias("__from")).repartition(*by, "__from")
-    return steps.select(*by, "__value", F.explode(F.sequence("__from", F.least(F.col("last"), F.col("__from") + SPREAD - 1))).alias("__k"))
+    steps = table.select(*by, F.col(f"`{col}`").alias("__value"), "__last", F.explode(F.sequence("__first", "__last", F.lit(SPREAD))).alias("__from")).repartition(*by, "__from")
+    return steps.select(*by, "__value", F.explode(F.sequence("__from", F.least(F.col("__last"), F.col("__from") + SPREAD - 1))).alias("__k"))
 
 
 def resimulate(df: DataFrame, cols: list[str], rid: str, seed: str, stream: str = "copula", by: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Global positions without a single sorted partition.
 
 Rows are put in buckets that are in order (by hash prefix, or by value bounds from quantiles), numbered within their bucket, and
-moved up by the sizes of the buckets before.  Bucket sizes are a table of at most BUCKETS rows for each group.
+moved up by the sizes of the buckets before.  Hashes have 256 buckets, values as many as there are shuffle partitions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+#: The fewest and the most buckets of values.
+BUCKETS = (8, 512)
 
 
 def _offset(rows: DataFrame, by: list[str], bucket: str, weight: Column) -> DataFrame:
@@ -32,8 +33,9 @@ def hash_index(rows: DataFrame, digest: Column, into: str, by: list[str] | None
     return joined.select(*(F.col(f"l.`{c}`") for c in rows.columns), (F.col("__before") + F.col("__within")).alias(into))
 
 
-def bounds(rows: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
+def bounds(rows: DataFrame, value: str) -> list[float]:
     """Values that part rows about evenly; they set only the work of each task, never a result."""
+    buckets = min(BUCKETS[1], max(BUCKETS[0], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = rows.agg(F.percentile_approx(F.col(f"`{value}`").cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
     return sorted(set(found or []))
 
@@ -51,22 +53,22 @@ def bucket_of(value: Column, cuts: list[float]) -> Column:
 
 
 def value_table(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Each distinct value (within by): n, first and last position from 1, and total (non-null values of the group)."""
+    """Each distinct value (within by): __first and __last, its positions from 1, and __total (non-null values of the group)."""
     by = by or []
     cuts = bounds(rows, value)
-    counts = rows.where(F.col(f"`{value}`").isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(f"`{value}`").isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__bucket", bucket_of(F.col(f"`{value}`").cast("double"), cuts))
-    last = F.sum("n").over(Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = _offset(counts, by, "__bucket", F.sum("n"))
+    last = F.sum("__n").over(Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offsets = _offset(counts, by, "__bucket", F.sum("__n"))
     on = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in [*by, "__bucket"]]
-    joined = counts.withColumn("__last", last).alias("l").join(offsets.alias("r"), on)
-    end = F.col("__before") + F.col("__last")
-    return joined.select(*(F.col(f"l.`{c}`") for c in [*by, value]), F.col("n"), (end - F.col("n") + 1).alias("first"), end.alias("last"), F.col("__total").alias("total"))
+    joined = counts.withColumn("__within", last).alias("l").join(offsets.alias("r"), on)
+    end = F.col("__before") + F.col("__within")
+    return joined.select(*(F.col(f"l.`{c}`") for c in [*by, value]), (end - F.col("__n") + 1).alias("__first"), end.alias("__last"), F.col("__total"))
 
 
 def average_rank(rows: DataFrame, value: str, into: str, by: list[str] | None = None, source: DataFrame | None = None) -> DataFrame:
     """rows with into: the average-tie rank over source's (or rows') non-null values divided by their number and 1."""
     by = by or []
-    table = value_table(rows if source is None else source, value, by).withColumn(into, ((F.col("first") + F.col("last")) / 2) / (F.col("total") + 1)).drop("n", "first", "last", "total")
+    table = value_table(rows if source is None else source, value, by).withColumn(into, ((F.col("__first") + F.col("__last")) / 2) / (F.col("__total") + 1)).drop("__first", "__last", "__total")
     on = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by] + [F.col(f"l.`{value}`") == F.col(f"r.`{value}`")]
     return rows.alias("l").join(table.alias("r"), on, "left").select(*(F.col(f"l.`{c}`") for c in rows.columns), F.col(into))
