@@ -124,7 +124,7 @@ def storage_checks(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
         x = F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
         number = F.trim(x).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-        date = x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.expr(f"try_to_date(`{c}`, 'yyyy-MM-dd')").isNotNull()
+        date = F.when(x.isNotNull(), x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.expr(f"try_to_date(`{c}`, 'yyyy-MM-dd')").isNotNull())
         asked += [F.count(x).alias(f"n|{c}"), F.count_distinct(x).alias(f"d|{c}"), F.coalesce(F.bool_and(number), F.lit(False)).alias(f"f|{c}"), F.coalesce(F.bool_and(date), F.lit(False)).alias(f"t|{c}")]
     wide = df.agg(*asked)
     rows = F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"`n|{c}`").alias("n"), F.col(f"`d|{c}`").alias("n_values"), F.col(f"`f|{c}`").alias("all_numeric"), F.col(f"`t|{c}`").alias("all_dates")) for c in cols))

@@ -243,7 +243,7 @@ def test_designs(spark, trial):
     crd = spark.createDataFrame([(f"t{i % 3}", float(i)) for i in range(60)], "treatment string, y double")
     assert design.detect_design(crd).label == "CRD"
     split = spark.createDataFrame([(b, f"w{w}", f"s{s}", float(b + w * s)) for b in range(6) for w in range(3) for s in range(4)], "block int, variety string, dose string, out double")
-    assert design.detect_design(split).scores["split-plot"] == 1.0
+    assert design.detect_design(split).scores["split-plot"] > 0.999
     assert design.pick({"CRD": 0.9, "RCBD": 0.91}) == "CRD" and design.pick({"CRD": 0.2}) == "none"
 
 
