@@ -6,8 +6,8 @@ range that its interval meets.  Each task sweeps its sorted rows and keeps a sta
 innermost last; under each host, its sorted path prefixes are nested intervals, too, and a binary search with links to the
 enclosing prefix finds the longest that fits.  Of the rules that fit, the longest (host and path) wins.
 
-The range bounds come from a bounded sample of the pages, the BOUND_ROWS with the smallest hashes for each range, which sets
-only how even the ranges are.  Ranges are cut within a host, too (by the url's hash), so that a hot host is shared out.
+The range bounds come from a bounded sample of the pages, about BOUND_ROWS for each range, drawn by hash, which sets only how
+even the ranges are.  Ranges are cut within a host, too (by the url's hash), so that a hot host is shared out.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; repeated rows and null ids give a
 row each; of rules with equal host and path, the alphabetically last verdict holds; empty tables of pages or rules are fine;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import base
 
 #: Pages sampled for each range, and ranges for each shuffle partition.
-BOUND_ROWS, RANGES = 64, 4
+BOUND_ROWS, RANGES = 16, 4
 ROWS = "bucket int, key string, kind int, path string, page_id bigint, host string, rule string, verdict string"
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string"
 
@@ -75,7 +75,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: s
     read = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"))
     rows = read.select("page_id", host.alias("host"), path.alias("path"), F.xxhash64("url", "page_id").alias("tie")).withColumn("key", host_key("host"))
     ranges = RANGES * n
-    sample = sorted((r.key, r.tie) for r in rows.select("key", "tie", F.xxhash64("tie").alias("h")).orderBy("h").limit(BOUND_ROWS * ranges).collect())
+    # one count of the pages gives the share that is drawn
+    share = BOUND_ROWS * ranges / max(1, read.count())
+    drawn = rows.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = sorted((r.key, r.tie) for r in drawn.select("key", "tie").collect())
     bounds = spark.sparkContext.broadcast(sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)} if sample else []))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
