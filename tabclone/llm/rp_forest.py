@@ -2,7 +2,7 @@
 
 The trees are fitted on the driver to a bounded sample (SAMPLE_VALUES numbers at most, drawn by hash) and broadcast; every row is
 then indexed, by its leaf in each tree.  A query opens nodes of all trees in the order of one queue, whose key is the smallest
-margin on the way, until the leaves it has reached hold SEARCH sampled vectors.  Queries meet the rows of their leaves in one
+margin on the way, until the leaves it has reached hold SHARE of the sample (overlaps between trees counted).  Queries meet the rows of their leaves in one
 shuffle by leaf, where exact distances in double precision leave each query's nearest of the leaf; the nearest of all leaves follow.
 
 Equal vectors are one row to the index, with the smallest ids that a result can need; so a vector that a third of all rows
@@ -27,9 +27,11 @@ from pyspark.sql.window import Window
 
 from . import base
 
-#: Numbers in the sample, trees, sampled vectors of a leaf, and sampled vectors that a query's leaves hold, as a share of the
-#: sample or at least so many leaves' worth.
+#: Numbers in the sample, trees, least sampled vectors of a leaf, and half-filled leaves' worth of them that a query reads at least.
 SAMPLE_VALUES, TREES, LEAF, SEARCH_LEAVES = 1 << 22, 12, 96, 60
+#: Sampled vectors that a query's leaves hold, over all trees, as a share of the sample; the most leaves of a tree, so that this
+#: share stays a bounded number of leaves.
+SHARE, MOST_LEAVES = 1.0, 128
 _ROWS = "leaf bigint, kind int, query bigint, ids array<bigint>, v array<double>"
 
 
@@ -131,8 +133,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
     share = min(1.0, 1.2 * most / max(1, distinct.count()))
     drawn = distinct.where(F.pmod("a", F.lit(1 << 30)) < share * (1 << 30)).select("a", "b", "v").orderBy("a", "b").limit(most)
     sample = np.array([r["v"] for r in drawn.select("v").toLocalIterator()], np.float64).reshape(-1, d)
-    forest = spark.sparkContext.broadcast(fit(sample, trees, leaf))
-    want = leaf * search_leaves // 2
+    forest = spark.sparkContext.broadcast(fit(sample, trees, max(leaf, len(sample) // MOST_LEAVES)))
+    want = max(leaf * search_leaves // 2, int(SHARE * len(sample)))
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:

@@ -159,6 +159,22 @@ def test_nearest_recall_on_the_table(spark, sf):
     assert np.mean(recall) >= 0.9
 
 
+def test_nearest_recall_of_larger_tables(spark, monkeypatch):
+    monkeypatch.setattr(rp_forest, "SAMPLE_VALUES", 10000 * 64)  # a table of twice the sample
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(20000, 64)) * rng.uniform(0.5, 1, 64)
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id bigint, embedding array<double>")
+    mine = collections.defaultdict(set)
+    for r in rp_forest.nearest(df, F.col("vec_id") % 1000 == 0).collect():
+        mine[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, len(m), 1000):
+        d = ((m - m[q]) ** 2).sum(1)
+        d[q] = np.inf
+        recall.append(len(set(np.argsort(d)[:10].tolist()) & mine[q]) / 10)
+    assert np.mean(recall) >= 0.9
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
