@@ -1,13 +1,16 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by runs of lines.
 
-A rolling hash over the hashes of the last WINDOW lines ends a chunk where it is 0 modulo DIVISOR, so that boundaries move with
-the content and not with the position; a line of LONG words or more is a chunk of its own, and so is a run of blank lines.
-A chunk that has several lines, or is one such long line, is removed wherever it occurs but for its first occurrence (smallest
-document id, then position).  Candidates share a 128-bit hash; a chunk goes only if its bytes equal those of the first.
+Candidates are, from each line on and up to each line, the shortest run of whole lines that holds LONG words.  They depend on
+nothing outside them, and every passage of LONG words or more is the union of those inside it, so it goes whole whatever stands
+around it.  Shorter repeats are found by content-defined chunks of several lines: a rolling hash over the hashes of the last
+WINDOW lines ends a chunk where it is 0 modulo DIVISOR.  A blank line ends a run.
 
-Only hashes and positions are grouped, with partial counts, so a passage in a third of all documents is no large group.  Texts
-travel once, to meet their chunks' decisions.  The byte comparison then joins the repeated chunks alone with their firsts; its
-result is the chunks that differ, which stay.
+A candidate is removed wherever it occurs but for its first occurrence (smallest document id, then position).  Candidates share
+a 128-bit hash; one goes only if its bytes equal those of the first.
+
+Only hashes and positions are dealt out by hash, once, and a group is never held as a whole, so a passage in a third of all
+documents is a long run of small rows.  Texts travel once, to meet their chunks' decisions.  The byte comparison then joins the
+repeated chunks alone with their firsts; its result is the chunks that differ, which stay: hardly any, so it is written first.
 
 Defined cases: a null text stays null, an empty one empty; blank lines are never removed; rows equal in id and text are one
 document to the method (each gets the same text, which keeps a chunk first seen there); null ids come first; an empty table
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: Lines of the rolling hash, the mean length of chunks in lines, and the words that make a line a chunk of its own.
+#: Lines of the rolling hash, the mean length of chunks in lines, and the words that make a run of lines a passage.
 WINDOW, DIVISOR, LONG = 2, 3, 50
 #: Chunks longer than this many lines are cut.
 MOST_LINES = 64
@@ -36,32 +39,64 @@ CHUNKS = "key binary, id bigint, h binary, pos int, len int"
 
 
 def chunks(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end (in characters, line ends inside included) of the chunks that may be removed."""
-    at = start = 0
-    lines = words = 0
-    before = 0
+    """Start and end (in characters, line ends inside included) of the runs of lines that may be removed, by start, each once."""
+    found: set[tuple[int, int]] = set()
+    run: list[tuple[int, int, int]] = []
+    at = 0
     for line in text.split("\n"):
-        end = at + len(line)
         n = len(line.split())
-        if n == 0 or n >= LONG:
-            if lines > 1:
-                yield start, at - 1
-            if n:
-                yield at, end
-            lines, start, before = 0, end + 1, 0
+        if n:
+            run.append((at, at + len(line), n))
         else:
-            h = xxhash.xxh3_64_intdigest(line)
-            lines += 1
-            words += n
-            rolled = ((before * _MULTIPLIER) ^ h) & _MASK  # the last WINDOW lines
-            before = h
-            if (rolled >> 32) % DIVISOR == 0 or lines == MOST_LINES:
-                if lines > 1:
-                    yield start, end
-                lines, start = 0, end + 1
-        at = end + 1
-    if lines > 1:
-        yield start, len(text)
+            _content(text, run, found)
+            _passages(run, found)
+            run = []
+        at += len(line) + 1
+    _content(text, run, found)
+    _passages(run, found)
+    # of repeated lines, a run that overlaps its equal would take lines of what is kept: both are one longer run
+    first: dict[str, int] = {}
+    whole: set[tuple[int, int]] = set()
+    for a, b in sorted(found):
+        f = first.setdefault(text[a:b], a)
+        whole.add((a if f == a or a > f + b - a else f, b))
+    yield from sorted(whole)
+
+
+def _content(text: str, run: list[tuple[int, int, int]], found: set[tuple[int, int]]) -> None:
+    """Chunks that end where the hash of the last WINDOW lines says so; a chunk of one short line goes on."""
+    first = before = 0
+    for i, (a, b, n) in enumerate(run):
+        if n >= LONG:
+            if i - first > 1:
+                found.add((run[first][0], run[i - 1][1]))
+            first, before = i + 1, 0
+            continue
+        h = xxhash.xxh3_64_intdigest(text[a:b])
+        rolled = ((before * _MULTIPLIER) ^ h) & _MASK  # the last WINDOW lines
+        before = h
+        if i > first and ((rolled >> 32) % DIVISOR == 0 or i - first + 1 == MOST_LINES):
+            found.add((run[first][0], b))
+            first = i + 1
+    if len(run) - first > 1:
+        found.add((run[first][0], run[-1][1]))
+
+
+def _passages(run: list[tuple[int, int, int]], found: set[tuple[int, int]]) -> None:
+    """From each line on, and up to each line, the shortest run of LONG words: together they cover every longer run."""
+    i = total = 0
+    for _, b, n in run:
+        total += n
+        if total < LONG:
+            continue
+        # the run that ends a line earlier began at i, or was too short
+        if total - n < LONG:
+            found.add((run[i][0], b))
+        while total - run[i][2] >= LONG:
+            total -= run[i][2]
+            i += 1
+            found.add((run[i][0], b))
+        found.add((run[i][0], b))
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +113,11 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the spans, each with one line end beside it."""
+    """text without the spans, which may overlap, each with one line end beside it."""
     parts, at = [], 0
     for pos, n in sorted(spans):
         parts.append(text[at:pos])
-        at = pos + n + 1
+        at = max(at, pos + n + 1)
     rest = text[at:]
     joined = "".join(parts)
     return joined + rest if rest else joined.removesuffix("\n") if at > len(text) else joined
@@ -98,17 +133,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str
     texts = held.select("key", F.col(f"row.`{doc_id}`").cast("bigint").alias("id"), F.col(f"row.`{text}`").cast("string").alias("text"))
     found = base.cut(texts.mapInArrow(_find, CHUNKS), "line-chunks")
     # null ids sort first in a struct; one document is one occurrence at each position
-    place = F.struct("id", "key", "pos")
-    first = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    said = found.join(first.select("h", "first"), "h").select("key", F.struct("h", "pos", "len", (F.struct("id", "key", "pos") == F.col("first")).alias("is_first")).alias("span"))
+    place = F.struct("id", "key", "pos", "len")
+    # place has every column, so that both readers of dealt share its exchange
+    dealt = found.repartition("h")
+    first = dealt.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    said = dealt.join(first.select("h", "first"), "h").select("key", F.struct("h", "pos", "len", (place == F.col("first")).alias("is_first")).alias("span"))
     spans = said.groupBy("key").agg(F.collect_set("span").alias("spans"))
     marked = base.cut(held.join(spans, "key", "left"), "line-marked")
     pieces = marked.where("spans IS NOT NULL").select("key", F.col(f"row.`{text}`").cast("string").alias("text"), F.explode("spans").alias("s")).select("key", "s.*", F.expr("substring(text, s.pos + 1, s.len)").alias("piece"))
     kept = pieces.where("is_first").select("h", F.col("piece").alias("other")).groupBy("h").agg(F.first("other").alias("other"))
-    differ = pieces.where("NOT is_first").join(kept, "h").where("piece != other").select("key", "pos").distinct()
-    stay = differ.groupBy("key").agg(F.collect_set("pos").alias("stay"))
+    differ = pieces.where("NOT is_first").join(kept, "h").where("piece != other").select("key", "pos", "len").distinct()
+    stay = base.cut(differ.groupBy("key").agg(F.collect_set(F.struct("pos", "len")).alias("stay")), "line-stay")
     joined = marked.join(stay, "key", "left")
-    gone = F.expr("filter(coalesce(spans, array()), s -> NOT s.is_first AND NOT array_contains(coalesce(stay, array()), s.pos))")
+    gone = F.expr("filter(coalesce(spans, array()), s -> NOT s.is_first AND NOT coalesce(exists(stay, x -> x.pos = s.pos AND x.len = s.len), false))")
     return _rebuilt(joined.withColumn("gone", gone), columns, text, into)
 
 

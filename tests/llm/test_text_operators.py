@@ -1,6 +1,7 @@
 """The tokenizer operators, packing, language ID, quality rules and line dedup against brute force on small tables."""
 
 import collections
+import random
 import re
 import zlib
 from pathlib import Path
@@ -214,3 +215,35 @@ def test_line_dedup_equals_brute_force(spark, sf):
                 seen.add(text[a:b])
         want[doc] = line_dedup._without(text, gone)
     assert got == want
+
+
+def without_passages(rows, least=50):
+    """Line by line: what lies in a run of whole lines of so many words that an earlier place holds goes.  No chunks."""
+    seen, want = set(), {}
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        runs = [(i, j, tuple(lines[i:j])) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if lines[i].strip() and lines[j - 1].strip() and len(" ".join(lines[i:j]).split()) >= least]
+        gone = {k for i, j, r in runs if r in seen for k in range(i, j)}
+        seen |= {r for _, _, r in runs}
+        want[doc] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return want
+
+
+def planted(between):
+    rnd = random.Random(11)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = [line(rnd.choice((17, 20, 25, 30))) for _ in range(3 + i % 8)]
+        for k in range(2):
+            rows.append((2 * i + k, between.join([line(rnd.randrange(1, 30)) for _ in range(rnd.randrange(1, 6))] + passage + [line(rnd.randrange(1, 30)) for _ in range(rnd.randrange(1, 6))])))
+    return rows
+
+
+def test_line_dedup_removes_planted_passages(spark):
+    rows = planted("\n")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == without_passages(rows) and all(got[i] == t for i, t in rows if i % 2 == 0)
+    repeated = "\n".join(["the same line of ten words stands here many times"] * 40)
+    kept = line_dedup.dedup(spark.createDataFrame([(1, repeated), (2, repeated)], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: len(r["text"].split()) >= 50 for r in kept} == {1: True, 2: False}
