@@ -3,7 +3,8 @@
 Candidates are, from each line on and up to each line, the shortest run of whole lines that holds LONG words.  They depend on
 nothing outside them, and every passage of LONG words or more is the union of those inside it, so it goes whole whatever stands
 around it.  Shorter repeats are found by content-defined chunks of several lines: a rolling hash over the hashes of the last
-WINDOW lines ends a chunk where it is 0 modulo DIVISOR.  A blank line ends a run.
+WINDOW lines ends a chunk where it is 0 modulo DIVISOR.  Both go over blank lines, so that short paragraphs make a run; the bytes
+compared hold the blank lines inside.
 
 A candidate is removed wherever it occurs but for its first occurrence (smallest document id, then position).  Candidates share
 a 128-bit hash; one goes only if its bytes equal those of the first.
@@ -12,9 +13,9 @@ Only hashes and positions are dealt out by hash, once, and a group is never held
 documents is a long run of small rows.  Texts travel once, to meet their chunks' decisions.  The byte comparison then joins the
 repeated chunks alone with their firsts; its result is the chunks that differ, which stay: hardly any, so it is written first.
 
-Defined cases: a null text stays null, an empty one empty; blank lines are never removed; rows equal in id and text are one
-document to the method (each gets the same text, which keeps a chunk first seen there); null ids come first; an empty table
-gives an empty one; other columns pass through untouched.
+Defined cases: a null text stays null, an empty one empty; blank lines go where both sides of them go in one run,
+and stay otherwise; rows equal in id and text are one document to the method (each gets the same text, which keeps a chunk first
+seen there); null ids come first; an empty table gives an empty one; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -45,12 +46,8 @@ def chunks(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for line in text.split("\n"):
         n = len(line.split())
-        if n:
+        if n:  # runs go over blank lines, which count nowhere
             run.append((at, at + len(line), n))
-        else:
-            _content(text, run, found)
-            _passages(run, found)
-            run = []
         at += len(line) + 1
     _content(text, run, found)
     _passages(run, found)

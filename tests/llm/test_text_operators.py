@@ -247,3 +247,9 @@ def test_line_dedup_removes_planted_passages(spark):
     repeated = "\n".join(["the same line of ten words stands here many times"] * 40)
     kept = line_dedup.dedup(spark.createDataFrame([(1, repeated), (2, repeated)], "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: len(r["text"].split()) >= 50 for r in kept} == {1: True, 2: False}
+
+
+def test_line_dedup_runs_over_blank_lines(spark):
+    rows = planted("\n\n")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == without_passages(rows) and all(got[i] == t for i, t in rows if i % 2 == 0)
