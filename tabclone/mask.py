@@ -107,6 +107,9 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
             drawn = copula.strata(drawn, strata)
             for c in numeric:
                 effects, spread = conditional.shift_effects(source, c, list(rung.shifted)) if rung.shifted else ({}, 1.0)
+                if gone := [t for t in rung.shifted if t not in effects]:
+                    warn(ConditionalDegraded, f"{c} has too few rows for the effects of {gone}, which aren't kept")
+                    conditioning.setdefault("unshifted", {})[c] = gone
                 if effects:
                     drawn = conditional.shift_column(drawn, effects, f"__shift_{c}").withColumn(c, F.col(f"`{c}`") - F.col(f"__shift_{c}"))
                     mean = F.avg(c).over(Window.partitionBy("__stratum"))

@@ -6,14 +6,17 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConditionalDegraded, warn  # type: ignore[attr-defined]
 from ..functions.patterns import LADDER_COORDINATE, LADDER_ENVIRONMENT, matches
+from ..sources.scratch import cut
 
 LEAST = 5
-#: Cells of a fit that may come to the driver; beyond that a term is left out of the shifts.
-CELLS = 200_000
+#: Effects that are solved as one matrix on the driver; more are solved by rounds over the written pairs, at most so many.
+DENSE, ROUNDS = 2000, 500
 
 
 @dataclass(frozen=True)
@@ -84,32 +87,44 @@ def term(name: str) -> F.Column:
 def shift_effects(df: DataFrame, value: str, terms: list[str]) -> tuple[dict[str, dict[str, float]], float]:
     """Least-squares main effects of terms on value, shrunken by their reliability, and the factor that restores the spread.
 
-    Fitted from sums by cell, not rows: cells come to the driver if there are no more than CELLS; the last term goes otherwise.
+    Fitted from sums by level and by pair of levels, at any number of rows or crossed cells.  The last terms go only where there
+    are no more rows than effects; they are then absent from the result.
     """
     terms = list(terms)
     rows = df.select(F.col(f"`{value}`").cast("double").alias("y"), *(term(t).alias(f"t{i}") for i, t in enumerate(terms))).dropna()
-    while terms:
-        keys = [f"t{i}" for i in range(len(terms))]
-        cells = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
-        found = cells.limit(CELLS + 1).collect()
-        levels = [sorted({r[k] for r in found}) for k in keys]
-        n = sum(r["n"] for r in found)
-        if len(found) <= CELLS and 1 + sum(len(x) - 1 for x in levels) < n:
-            break
+    n, yy, sy = rows.agg(F.count("*"), F.sum(F.col("y") * F.col("y")), F.sum("y")).first()
+    if not terms or not n:
+        return {}, 1.0
+    each = rows.select("y", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"t{i}").alias("a")) for i in range(len(terms))))).alias("s"))
+    by = {(r["i"], r["a"]): (r["n"], r["s"]) for r in each.groupBy("s.i", "s.a").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()}
+    levels = [sorted(a for i, a in by if i == k) for k in range(len(terms))]
+    while terms and 1 + sum(len(x) - 1 for x in levels) >= n:
         terms.pop()
-    if not terms or not found:
+        levels.pop()
+    if not terms:
         return {}, 1.0
     at, width = [], 1
     for x in levels:
         at.append({v: width + i - 1 for i, v in enumerate(x) if i})
         width += len(x) - 1
-    a, b, yy = np.zeros((width, width)), np.zeros(width), 0.0
-    for r in found:
-        on = [0] + [at[i][r[f"t{i}"]] for i in range(len(terms)) if r[f"t{i}"] in at[i]]
-        a[np.ix_(on, on)] += r["n"]
-        b[on] += r["s"]
-        yy += r["q"]
-    beta, _, rank, _ = np.linalg.lstsq(a, b, rcond=None)
+    count, b = np.full(width, float(n)), np.full(width, float(sy))
+    for i, x in enumerate(at):
+        for v, k in x.items():
+            count[k], b[k] = by[i, v]
+    pairs = None
+    if len(terms) > 1:
+        both = [F.struct(F.lit(i).alias("i"), F.col(f"t{i}").alias("a"), F.lit(j).alias("j"), F.col(f"t{j}").alias("b")) for i, j in combinations(range(len(terms)), 2)]
+        pairs = rows.select(F.explode(F.array(*both)).alias("s")).groupBy("s.i", "s.a", "s.j", "s.b").agg(F.count("*").alias("n"))
+    if width <= DENSE:
+        a = np.diag(count)
+        a[0], a[:, 0] = count, count
+        for r in pairs.toLocalIterator() if pairs is not None else ():
+            p, q = at[r["i"]].get(r["a"]), at[r["j"]].get(r["b"])
+            if p and q:
+                a[p, q] = a[q, p] = r["n"]
+        beta, _, rank, _ = np.linalg.lstsq(a, b, rcond=None)
+    else:
+        beta, rank = _solved(df.sparkSession, pairs, at, count, b), width
     sigma2 = max(0.0, yy - beta @ b) / max(n - rank, 1)
     out, used = {}, 0.0
     for i, t in enumerate(terms):
@@ -122,6 +137,48 @@ def shift_effects(df: DataFrame, value: str, terms: list[str]) -> tuple[dict[str
     return out, float(np.sqrt((n - 1) / (n - 1 - used))) if n - 1 > used else 1.0
 
 
+def _solved(spark: SparkSession, pairs: DataFrame | None, at: list[dict[str, int]], count: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The normal equations by conjugate gradients from 0 (the solution of least norm); only vectors come to the driver."""
+    width, slim = len(b), None
+    if pairs is not None:
+        index = spark.createDataFrame([(i, v, k) for i, x in enumerate(at) for v, k in x.items()], "i int, a string, k long")
+        first, second = index.withColumnRenamed("k", "p"), index.toDF("j", "b", "q")
+        slim = cut(pairs.join(first, ["i", "a"]).join(second, ["j", "b"]).select("p", "q", "n"), "shift-pairs")
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = count * x
+        out[0] += count[1:] @ x[1:]
+        out[1:] += count[1:] * x[0]
+        if slim is None:
+            return out
+        held = spark.sparkContext.broadcast(x)
+
+        def run(batches):
+            part = np.zeros(width)
+            for rb in batches:
+                p, q, n = (rb.column(c).to_numpy() for c in ("p", "q", "n"))
+                part += np.bincount(p, n * held.value[q], width) + np.bincount(q, n * held.value[p], width)
+            on = np.flatnonzero(part)
+            yield pa.RecordBatch.from_pydict({"k": on, "x": part[on]})
+
+        for r in slim.mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+            out[r["k"]] += r["x"]
+        held.destroy()
+        return out
+
+    x, rest = np.zeros(width), b.copy()
+    way, size = rest.copy(), rest @ rest
+    for _ in range(ROUNDS):
+        if size <= (1e-9 * np.linalg.norm(b)) ** 2:
+            return x
+        ahead = times(way)
+        step = size / (way @ ahead)
+        x, rest = x + step * way, rest - step * ahead
+        way, size = rest + (rest @ rest) / size * way, rest @ rest
+    warn(ConditionalDegraded, f"shifts of {width} effects are solved to {np.sqrt(size) / np.linalg.norm(b):.1e} only")
+    return x
+
+
 def shift_column(df: DataFrame, effects: dict[str, dict[str, float]], into: str) -> DataFrame:
     """df with the sum of its rows' effects; effects travel as tables, never as literals.  A null in a term shifts nothing."""
     spark = df.sparkSession

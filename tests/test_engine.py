@@ -265,6 +265,23 @@ def test_ladder_and_shifts(spark, trial):
     assert effects["site"]["s5"] > 3 and spread > 1
 
 
+def test_shifts_keep_every_term(spark, monkeypatch):
+    monkeypatch.setattr(conditional, "CELLS", 500, raising=False)
+    # 2400 rows in as many cells of row and column, with effects of both
+    noise = np.random.default_rng(2).normal(0, 0.1, (40, 60))
+    at = [(i, j) for i in range(40) for j in range(60)]
+    df = spark.createDataFrame([(f"r{i:02}", f"c{j:02}", f"b{(i + j) % 3}", 2.0 * i + 0.5 * j + float(noise[i, j])) for i, j in at], "row string, col string, block string, y double")
+    found, spread = conditional.shift_effects(df, "y", ["row", "col", "row:block"])
+    assert set(found) == {"row", "col", "row:block"}
+    found, spread = conditional.shift_effects(df, "y", ["row", "col"])
+    assert abs(found["row"]["r39"] - 78) < 0.5 and abs(found["col"]["c59"] - 29.5) < 0.5 and spread > 1
+    # many effects are solved by rounds, with the same result
+    dense = conditional.shift_effects(df, "y", ["row", "col", "block"])
+    monkeypatch.setattr(conditional, "DENSE", 10, raising=False)
+    wide = conditional.shift_effects(df, "y", ["row", "col", "block"])
+    assert all(abs(v - wide[0][t][k]) < 1e-4 for t, x in dense[0].items() for k, v in x.items()) and abs(dense[1] - wide[1]) < 1e-4
+
+
 def test_classifier():
     f = lambda **k: audit.classify(audit.Finding(**({"role": "covariate", "kind": "numeric", "action": "scramble", "mode": "collaborate"} | k)))
     assert f() == "low" and f(mode="local") == "low" and f(pii=True) == "high" and f(pii=True, mode="local") == "medium" and f(coarsened=True) == "medium"
