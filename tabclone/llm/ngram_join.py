@@ -91,7 +91,8 @@ def signatures(h: np.ndarray, m: np.ndarray, bands: int, rows: int, seed: int =
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, key (16 bytes that stand for its text), class_id, copies (equal texts, itself included), and
+    """One row per document: doc_id, key (16 bytes that stand for its text), root (the key that stands for its class), class_id
+    (the class's smallest doc_id, a label that classes share where ids repeat or are null), copies (equal texts, itself included), and
     n_links (documents at or above the threshold, itself excluded)."""
     spark = docs.sparkSession
     base.tune(spark)
@@ -129,8 +130,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, doc_
     roots = components(checked.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")), "ngram-components")
     known = texts.select("key", "least", "copies").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    classed = known.join(named, "root").select("key", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
-    return signed.select("doc_id", "key").join(classed, "key").select("doc_id", "key", "class_id", "copies", "n_links")
+    classed = known.join(named, "root").select("key", "root", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
+    return signed.select("doc_id", "key").join(classed, "key").select("doc_id", "key", "root", "class_id", "copies", "n_links")
 
 
 def _sets(texts: DataFrame, ngram: int) -> DataFrame:
@@ -235,9 +236,9 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class: the one of the smallest id, and of rows equal in id and text one."""
     classes = join(docs, threshold, ngram, doc_id, text)
-    # a class without any id is named by none: it keeps its smallest text
-    best = classes.groupBy("key").agg(F.min("class_id").alias("class_id"), F.min("doc_id").alias("least")).withColumn("group", F.coalesce(F.col("class_id").cast("string"), F.hex("key")))
-    first = best.groupBy("group").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("f")).select(F.col("f.key").alias("key"), F.col("f.least").alias("least"))
+    # a class without any id keeps the text of its smallest key
+    best = classes.groupBy("key").agg(F.first("root").alias("root"), F.min("doc_id").alias("least"))
+    first = best.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("f")).select(F.col("f.key").alias("key"), F.col("f.least").alias("least"))
     columns = docs.columns
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), base.text_key(f"`{text}`").alias("key"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
     met = held.join(first, "key").where("id <=> least").dropDuplicates(["key", "id"])

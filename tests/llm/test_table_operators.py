@@ -94,6 +94,16 @@ def test_ngram_keep_one_and_empty(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_ngram_classes_of_repeated_and_null_ids(spark):
+    rnd = random.Random(6)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (None, c + " more"), (None, c + " else")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect()]
+    assert sorted(x[:2] for x in kept if x[0]) == sorted([(1, a), (1, b)]) and len(kept) == 3
+    assert len({r["root"] for r in ngram_join.join(df).collect()}) == 3
+
+
 def test_banding():
     bands, rows = ngram_join.banding(0.8)
     assert bands * rows <= ngram_join.MINIMA and 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL
