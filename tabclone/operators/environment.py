@@ -16,6 +16,8 @@ from .incidence import components, incidence
 if TYPE_CHECKING:
     from ..plans.plan import Plan
 
+#: Components and environments that a report lists; it counts the others.
+SHOWN = 1000
 COVERAGE, REPLICATED, CONFINED, SHARED = 0.8, 0.5, 0.8, 0.05
 
 
@@ -39,6 +41,7 @@ class Scope:
     connectivity: dict | None = None
     grouping: list[dict] = field(default_factory=list)
     per_env: list[dict] = field(default_factory=list)
+    per_env_hidden: int = 0
 
 
 def propose_environments(cols: list[str], treatments: list[str], plan: Plan | None = None) -> list[Candidate]:
@@ -83,9 +86,9 @@ def connectivity(inc: DataFrame) -> dict:
     nodes = components(inc)
     side = F.substring("node", 1, 1)
     sizes = nodes.groupBy("component").agg(F.sum((side == "b").cast("int")).alias("n_env"), F.sum((side == "t").cast("int")).alias("n_treatments"))
-    parts = [r.asDict() for r in sizes.orderBy("component").limit(1000).collect()]
+    parts = [r.asDict() for r in sizes.orderBy("component").limit(SHOWN).collect()]
     n = sizes.count()
-    return {"status": "connected" if n == 1 else "disconnected", "components": n, "sizes": parts, "overlap": overlap(inc).first().asDict()}
+    return {"status": "connected" if n == 1 else "disconnected", "components": n, "sizes": parts, "sizes_hidden": n - len(parts), "overlap": overlap(inc).first().asDict()}
 
 
 def overlap(inc: DataFrame) -> DataFrame:
@@ -149,5 +152,7 @@ def detect_scope(df: DataFrame, plan: Plan | None = None, env: list[str] | bool
         groups = [c for c in df.columns if matches(c, GROUPING) and c not in chosen.cols]
         scope.grouping = [grouping(df, g, treatment).first().asDict() for g in groups]
         block = next((b for b in (design.candidates.named_blocks if design.candidates else []) if b not in chosen.cols), None)
-        scope.per_env = [r.asDict() for r in per_environment(df, list(chosen.cols), treatment, block).orderBy("env").limit(1000).collect()]
+        each = per_environment(df, list(chosen.cols), treatment, block)
+        scope.per_env = [r.asDict() for r in each.orderBy("env").limit(SHOWN).collect()]
+        scope.per_env_hidden = each.count() - len(scope.per_env)
     return scope

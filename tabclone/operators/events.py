@@ -14,6 +14,8 @@ from .jitter import jitter
 from .permute import permute_rows
 
 LEAST = 5
+#: Pooled patterns that a report lists; it counts the others.
+SHOWN = 1000
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,7 @@ class EventSpec:
 class EventReport:
     patterns: int = 0
     pooled: list[str] = field(default_factory=list)
+    pooled_hidden: int = 0
 
 
 def gaps(df: DataFrame, time: tuple[str, ...]) -> list[Column]:
@@ -61,14 +64,14 @@ def synthesise(df: DataFrame, spec: EventSpec, rid: str, seed: str, by: list[str
     k = len(spec.time)
     g = [f"__g{i}" for i in range(k)]
     own = df.withColumns(dict(zip(g, gaps(df, spec.time), strict=True))).withColumn("__pattern", pattern(spec.status))
-    counts = {r["__pattern"]: r for r in own.groupBy("__pattern").agg(F.count("*").alias("n"), *(F.bool_or(F.col(x) != 0).alias(x) for x in g)).limit(10_000).collect()}
-    small = sorted(p for p, r in counts.items() if r["n"] < least)
+    tally = own.groupBy("__pattern").agg(F.count("*").alias("n"), *(F.bool_or(F.col(x) != 0).alias(x) for x in g))
+    patterns, pooled, *free = tally.agg(F.count("*"), F.count_if(F.col("n") < least), *(F.struct(F.count_if(x), F.min(F.when(F.col(x), F.struct("n", "__pattern")))) for x in g)).first()
+    for many, only in free:
+        if many == 1 and only["n"] < least:
+            raise BadEvents(f"a gap is free only in the pattern {only['__pattern']!r}, which has fewer than {least} rows", only["__pattern"])
+    small = [r["__pattern"] for r in tally.where(F.col("n") < least).orderBy("__pattern").limit(SHOWN).collect()]
     if small:
-        for p in small:
-            for x in g:
-                if counts[p][x] and not any(q != p and counts[q][x] for q in counts):
-                    raise BadEvents(f"a gap is free only in the pattern {p!r}, which has fewer than {least} rows", p)
-        warn(EventsPooled, f"patterns with fewer than {least} rows are pooled: {small}")
+        warn(EventsPooled, f"patterns with fewer than {least} rows are pooled: {small}" + (f" and {pooled - len(small)} more" if pooled > len(small) else ""))
     # rows move as a whole: a row takes pattern and gaps of another of its stratum, then its free gaps are drawn within the cell
     moved = permute_rows(own, [*spec.status, *g, "__pattern"], rid, seed, "events", by)
     celled = strata(moved, [*by, "__pattern"], least, "__cell")
@@ -87,7 +90,7 @@ def synthesise(df: DataFrame, spec: EventSpec, rid: str, seed: str, by: list[str
         times.append(total)
     capped = cap(times, [F.col(x) for x in g], F.col("__cap"))
     done = drawn.select(*(capped[spec.time.index(c)].cast(df.schema[c].dataType).alias(c) if c in spec.time else F.col(f"`{c}`") for c in names))
-    return done, EventReport(len(counts), small)
+    return done, EventReport(patterns, small, pooled - len(small))
 
 
 def cap(times: list[Column], gap: list[Column], most: Column) -> list[Column]:

@@ -258,6 +258,20 @@ def test_scope(spark, trial):
     assert environment.connectivity(incidence.incidence(apart, "e", "t"))["components"] == 2
 
 
+def test_reports_count_what_they_do_not_list(spark, trial, monkeypatch):
+    monkeypatch.setattr(environment, "SHOWN", 1, raising=False)
+    monkeypatch.setattr(events, "SHOWN", 1, raising=False)
+    apart = spark.createDataFrame([("e1", "a"), ("e2", "c"), ("e3", "d")], "e string, t string")
+    told = environment.connectivity(incidence.incidence(apart, "e", "t"))
+    assert told["components"] == 3 and len(told["sizes"]) == 1 and told["sizes_hidden"] == 2
+    s = environment.detect_scope(trial.select("site", "rep", "variety", "yield"))
+    assert len(s.per_env) == 1 and s.per_env_hidden == trial.select("site").distinct().count() - 1
+    rows = [(i, 5 + i % 7, i % 40 if i < 8 else 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, t1 int, s1 int")
+    report = events.synthesise(df, events.EventSpec(("t1",), ("s1",)), "id", SEED)[1]
+    assert report.patterns == 9 and len(report.pooled) == 1 and report.pooled_hidden == 7
+
+
 def test_ladder_and_shifts(spark, trial):
     r = conditional.ladder(trial, ["site", "rep", "variety"], ["variety"], ["yield"])
     assert r.used[-1] == "variety" and r.fallback == 0.0 and "rep" in r.dropped
