@@ -37,22 +37,26 @@ def _bind(value: str, name: str, body: str) -> str:
 def statistics(text: str) -> Column:
     """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks and n_lines of a text column."""
     t = f"coalesce({text}, '')"
-    words = f"CASE WHEN trim(BOTH '{SPACE}' FROM {t}) = '' THEN CAST(array() AS array<string>) ELSE split(trim(BOTH '{SPACE}' FROM {t}), '[\\\\x20\\\\x09-\\\\x0D]+') END"
-    hashes = ", ".join(f"h[i + {k}]" for k in range(WINDOW))
-    windows = f"transform(sequence(0, size(w) - {WINDOW}), i -> xxhash64({hashes}))"
-    # positions of windows that occur again, in order; each covers WINDOW words, less what the next one covers
-    at = "filter(transform(s, (x, j) -> CASE WHEN x.v = s[j - 1].v OR x.v = s[j + 1].v THEN x.i END), x -> x IS NOT NULL)"
-    at = _bind("array_sort(transform(v, (x, i) -> struct(x AS v, i AS i)))", "s", at.replace("s[j - 1].v", "(CASE WHEN j > 0 THEN s[j - 1].v END)").replace("s[j + 1].v", "(CASE WHEN j < size(s) - 1 THEN s[j + 1].v END)"))
-    covered = _bind(f"array_sort({at})", "p", f"{WINDOW} + aggregate(transform(p, (x, k) -> CASE WHEN k > 0 THEN least({WINDOW}, x - p[k - 1]) ELSE 0 END), 0, (a, x) -> a + x)")
-    repeats = _bind(windows, "v", f"CASE WHEN size(array_distinct(v)) = size(v) THEN 0 ELSE {covered} END")
+    words = f"filter(split({t}, '[\\\\x20\\\\x09-\\\\x0D]'), x -> x <> '')"
+    at = f"sequence(0, size(w) - {WINDOW})"
+    hashes, told = (", ".join(f"{x}[i + {k}]" for k in range(WINDOW)) for x in "hw")
+    # of pairs (v, i) in order: the positions i whose v occurs again
+    again = lambda pairs: _bind(f"sort_array({pairs})", "s", "filter(transform(s, (x, j) -> CASE WHEN x.v = (CASE WHEN j > 0 THEN s[j - 1].v END) OR x.v = (CASE WHEN j < size(s) - 1 THEN s[j + 1].v END) THEN x.i END), x -> x IS NOT NULL)")
+    # windows whose hash occurs again are compared by their words, which hold no space and so may be joined by spaces
+    found = _bind(again("transform(v, (x, i) -> struct(x AS v, i AS i))"), "f", again(f"transform(f, i -> struct(concat_ws(' ', {told}) AS v, i AS i))"))
+    # each covers WINDOW words, less what the next one covers
+    covered = _bind(f"sort_array({found})", "p", f"CASE WHEN size(p) = 0 THEN 0 ELSE {WINDOW} + aggregate(transform(p, (x, k) -> CASE WHEN k > 0 THEN least({WINDOW}, x - p[k - 1]) ELSE 0 END), 0, (a, x) -> a + x) END")
+    repeats = _bind(f"transform({at}, i -> xxhash64({hashes}))", "v", f"CASE WHEN size(array_distinct(v)) = size(v) THEN 0 ELSE {covered} END")
     repeats = f"CASE WHEN size(w) < {WINDOW} THEN 0 ELSE {_bind('transform(w, x -> xxhash64(x))', 'h', repeats)} END"
-    lines = f"filter(split({t}, '\\n'), l -> trim(BOTH '{SPACE}' FROM l) <> '')"
+    lines = f"filter(split({t}, '\\n'), x -> trim(BOTH '{SPACE}' FROM x) <> '')"
+    # a pattern of what is rarer, so that it matches seldom
     kept = lambda chars: f"char_length(regexp_replace({t}, '[^{chars}]+', ''))"
     fields = {
-        "n_words": "size(w)", "word_chars": "char_length(array_join(w, ''))", "n_symbols": kept("#*$%&|<>"), "n_dup_lines": _bind(lines, "l", "size(l) - size(array_distinct(l))"),
-        "n_repeat_words": repeats, "n_upper": kept("A-ZÀ-ÖØ-Þ"), "n_marks": kept("!?"), "n_lines": f"size({lines})",
+        "n_words": "size(w)", "word_chars": "char_length(array_join(w, ''))", "n_symbols": kept("#*$%&|<>"), "n_dup_lines": "size(l) - size(array_distinct(l))",
+        "n_repeat_words": repeats, "n_upper": f"char_length({t}) - char_length(regexp_replace({t}, '[A-ZÀ-ÖØ-Þ]', ''))", "n_marks": kept("!?"), "n_lines": "size(l)",
     }
-    return F.expr(_bind(words, "w", "named_struct(" + ", ".join(f"'{k}', CAST({v} AS bigint)" for k, v in fields.items()) + ")"))
+    made = "named_struct(" + ", ".join(f"'{k}', CAST({v} AS bigint)" for k, v in fields.items()) + ")"
+    return F.expr(_bind(words, "w", _bind(lines, "l", made)))
 
 
 def base_failed(s: str = "stats") -> Column:
@@ -137,9 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """The list learnt from the labelled documents with the smallest hashes, LABELLED at most, that pass the base rule."""
     some = labels.select(F.col(doc_id).alias("id"), F.col(quality).alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
     some = some.withColumn("h", F.xxhash64("id")).orderBy("h", "quality").limit(LABELLED)
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(some, "id").select("id", "h", "quality", statistics("text").alias("stats"))
-    rows = found.where(~base_failed()).select("h", (F.col("quality") == 0).alias("bad"), *(c.alias(k) for k, c in features().items())).orderBy("h", *FEATURES).limit(2 * LABELLED).collect()
-    return learn([r.asDict() | {"held": r["h"] // 8 % 3 == 0} for r in rows])
+    # LABELLED rows at most are broadcast; base_failed is a column and no filter, which the optimizer would push below the join and so compute for every document
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").select("id", "h", "quality", statistics("text").alias("stats"))
+    rows = found.select("h", (F.col("quality") == 0).alias("bad"), base_failed().alias("failed"), *(c.alias(k) for k, c in features().items())).orderBy("failed", "h", *FEATURES).limit(2 * LABELLED).collect()
+    return learn([r.asDict() | {"held": r["h"] // 8 % 3 == 0} for r in rows if not r["failed"]])
 
 
 def verdict(rules: list[Rule], s: str = "stats") -> Column:

@@ -188,6 +188,129 @@ def test_decision_list():
     assert quality_rules.learn([]) == [] and quality_rules.learn([r for r in rows if r["bad"]]) == []
 
 
+def brute_learner(rows):
+    """The stated method by plain loops: every middle of two values of every feature, by information gain, pruned and taken if precise."""
+    import math
+
+    names, held = quality_rules.FEATURES, lambda rule, r: all((r[f] > t) == above for f, above, t in rule)
+    count = lambda rule, rs: sum(held(rule, r) for r in rs)
+    grow, prune = [r for r in rows if not r["held"]], [r for r in rows if r["held"]]
+    found = []
+    while sum(r["bad"] for r in grow) >= quality_rules.LEAST and not all(r["bad"] for r in grow):
+        rule, left = [], grow
+        while len(rule) < quality_rules.CONDITIONS and any(r["bad"] for r in left) and not all(r["bad"] for r in left):
+            p0, n0 = sum(r["bad"] for r in left), sum(not r["bad"] for r in left)
+            best, pick = 1e-9, None
+            for f in names:
+                v = sorted({r[f] for r in left})
+                cuts = [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
+                if len(cuts) > quality_rules.THRESHOLDS:
+                    cuts = [cuts[i * (len(cuts) - 1) // (quality_rules.THRESHOLDS - 1)] for i in range(quality_rules.THRESHOLDS)]
+                for t in cuts:
+                    for above in (True, False):
+                        p = sum(r["bad"] for r in left if (r[f] > t) == above)
+                        n = sum(not r["bad"] for r in left if (r[f] > t) == above)
+                        gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+                        if gain > best:
+                            best, pick = gain, (f, above, t)
+            if pick is None:
+                break
+            rule.append(pick)
+            left = [r for r in left if held([pick], r)]
+        if not rule:
+            break
+        worth = []
+        for k in range(1, len(rule) + 1):
+            p, n = count(rule[:k], [r for r in prune if r["bad"]]), count(rule[:k], [r for r in prune if not r["bad"]])
+            worth.append((p - n) / (p + n) if p + n else -1.0)
+        rule = rule[: worth.index(max(worth)) + 1]
+        p, n = count(rule, [r for r in rows if r["bad"]]), count(rule, [r for r in rows if not r["bad"]])
+        if p < quality_rules.LEAST or p < quality_rules.PRECISION * (p + n):
+            break
+        found.append(rule)
+        rows, grow, prune = ([r for r in x if not held(rule, r)] for x in (rows, grow, prune))
+    return found, lambda r: next((i for i, rule in enumerate(found) if held(rule, r)), None)
+
+
+def brute_features(text):
+    n, chars, symbols, dups, repeats = brute_statistics(text)
+    lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n")))
+    return dict(zip(quality_rules.FEATURES, (
+        float(n), chars / max(n, 1), symbols / max(chars, 1), dups / lines if dups else 0.0, repeats / max(n, 1),
+        len(re.findall("[A-ZÀ-ÖØ-Þ]", text or "")) / max(chars, 1), len(re.findall("[!?]", text or "")) / max(chars, 1), n / lines,
+    ), strict=True))
+
+
+def labelled(seed=4):
+    """Documents of several kinds: good prose, shouting, symbols among words, and lists of short lines; bad ones in three of them."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    docs, labels = [], []
+    for i in range(360):
+        words = [word() for _ in range(rnd.randrange(12, 60))]
+        kind = rnd.randrange(6)
+        if kind == 0:
+            words = [w.upper() + "!" if rnd.random() < 0.7 else w for w in words]
+        elif kind == 1:
+            words = [w + rnd.choice("#$%|") for w in words]
+        sep = "\n" if kind == 2 else " "
+        docs.append((i, sep.join(words) if kind != 3 else " ".join(words[:5]), "x", i))
+        if i % 9:
+            labels.append((i, 0 if kind < 3 else 1, 0))
+    docs += [(1000, None, "x", 1), (None, "null id " * 20, "x", 1), (1001, "", "x", 1)]
+    labels += [(1000, 0, 0), (None, 0, 0), (1001, None, 0), (5000, 1, 0)]
+    return docs, labels
+
+
+def test_quality_rules_equal_a_brute_learner(spark):
+    docs, labels = labelled()
+    df, known = spark.createDataFrame(docs, "doc_id bigint, text string, stats string, rule int"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rules = quality_rules.train(df, known)
+    told = {r["doc_id"]: r["h"] for r in known.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    texts = {i: t for i, t, *_ in docs}
+    failed = lambda t: brute_statistics(t)[0] < 10 or 100 * brute_statistics(t)[4] > 20 * brute_statistics(t)[0]
+    rows = [brute_features(texts[i]) | {"bad": q == 0, "held": told[i] // 8 % 3 == 0} for i, q, _ in labels if i is not None and q is not None and i in texts and not failed(texts[i])]
+    want, number = brute_learner(rows)
+    assert len(want) >= 2 and [[(c.feature, c.above) for c in rule] for rule in rules] == [[(f, above) for f, above, _ in rule] for rule in want]
+    assert all(abs(c.threshold - t) < 1e-9 for rule, plain in zip(rules, want, strict=True) for c, (_, _, t) in zip(rule, plain, strict=True))
+    got = {(r["doc_id"], r["text"]): r["q"] for r in quality_rules.judge(df, rules, into="q").collect()}
+    assert len(got) == len(docs) and any(q["rule"] == 1 for q in got.values())
+    for i, t, *_ in docs:
+        n = number(brute_features(t))
+        assert (got[i, t]["base_failed"], got[i, t]["rule"], got[i, t]["kept"]) == (failed(t), n, not failed(t) and n is None)
+
+
+def test_quality_training_reads_statistics_of_labelled_rows_only(spark):
+    """The base rule must not be pushed below the join with the labels: then every document's statistics would be computed."""
+    seen = []
+    docs, labels = labelled()
+    df, known = spark.createDataFrame(docs, "doc_id bigint, text string, stats string, rule int"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    limit = type(df).limit
+
+    def spy(self, n):
+        seen.append(limit(self, n))
+        return seen[-1]
+
+    type(df).limit = spy
+    try:
+        quality_rules.train(df, known)
+    finally:
+        type(df).limit = limit
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" not in plan[plan.index("Join") :]
+
+
+def test_quality_rules_of_long_and_odd_texts(spark):
+    rnd = random.Random(9)
+    long = " ".join(f"w{rnd.randrange(30000)}" for _ in range(40000))
+    texts = [long, long + " " + long[:4000], "one\n" * 3000, "#" * 200000, "a b c d e f g h i j", "a b c d e f g h i j" * 2]
+    df = spark.createDataFrame([(7, t, "s") for t in texts] * 2, "doc_id int, text string, stats string")
+    got = [r for r in quality_rules.judge(df, [], into="q").collect()]
+    assert len(got) == 12
+    for r in got:
+        q = r["q"]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == brute_statistics(r["text"])
+
 def test_line_dedup(spark):
     block = "\n".join(f"line {i} of a passage that many documents hold" for i in range(12))
     long = " ".join(f"word{i}" for i in range(60))
