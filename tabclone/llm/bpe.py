@@ -9,6 +9,9 @@ Reads tokenizer files of the BPE kind with byte letters, an optional end-of-word
 one space and lower case, and a pattern whose words hold no white space.  Decoding joins the tokens with spaces, as a file
 without a decoder asks for.
 
+Pieces of plain characters (PLAIN) are normalized and cut by Python; all others by the library's own normalizer and pre-tokenizer,
+since versions of Unicode differ on what is a letter and what its lower case is.  The merges are always the numpy rounds.
+
 Defined cases: a null or empty text has no ids and decodes to the empty text; strings of special tokens become their ids;
 rows are independent, so repeated rows and ids don't matter; an empty table gives an empty one; further columns are not read.
 """
@@ -16,7 +19,6 @@ rows are independent, so repeated rows and ids don't matter; an empty table give
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from . import base
 
 SCHEMA = "doc_id bigint, ids array<int>, decoded string"
+#: Characters that are in their normal form, and of one kind and lower case in every version of Unicode.
+PLAIN = "[\\t\\r\\x21-\\x7e\u00a1-\u012f\u0131-\u024f\u2013-\u201e\u2026\u20ac]*"
 #: No pair of a word has a rank.
 NONE = np.iinfo(np.int64).max
 _codecs: dict[int, "Codec"] = {}
@@ -55,8 +59,14 @@ class Codec:
         kinds = [x["type"] for x in file["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"unknown normalizers: {kinds}")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(spec)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.plain = regex.compile(PLAIN).fullmatch
         self.words = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         suffix, letters = model.get("end_of_word_suffix") or "", _letters()
+        self.bytes = {x: b for b, x in enumerate(letters)}
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.final = np.array([vocab[x + suffix] for x in letters], np.int64)
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
@@ -105,8 +115,10 @@ class Codec:
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(raw))
 
     def _cut(self, text: str) -> list[str]:
-        # each character is put in lower case by itself: no final form of sigma
-        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.plain(text):
+            return self.words(text.lower())
+        # words come in the letters that stand for bytes
+        return [bytes(map(self.bytes.__getitem__, w)).decode() for w, _ in self.split(self.normal(text))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a large_string array without nulls, and the number of ids of each text."""

@@ -73,6 +73,20 @@ def test_numpy_bpe_equals_the_library():
     check()
 
 
+def test_numpy_bpe_of_every_code_point():
+    """Alone, inside a word, doubled, after a letter that it may combine with, and in one text with the next ones."""
+    own, t = bpe.codec(spec("word_bpe_49k.json")), Tokenizer.from_str(spec("word_bpe_49k.json"))
+    t.no_padding()
+    t.no_truncation()
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x33500), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFD)]
+    texts = ["".join(points[i : i + 50]) for i in range(0, len(points), 25)]
+    for shape in ("{0}", "a{0}b", "{0}{0}", "Co {0}e", None):
+        some = [shape.format(c) for c in points] if shape else texts
+        ids, lens = own.encode(pa.array(some, pa.large_string()))
+        want = [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+        assert lens.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x], shape
+
+
 def test_bpe_operator_cases(spark, docs):
     got = bpe.encode_decode(docs, spec("word_bpe_49k.json")).collect()
     assert len(got) == len(ROWS)
