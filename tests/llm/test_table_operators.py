@@ -4,6 +4,8 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,22 +171,34 @@ def test_nearest_recall_on_the_table(spark, sf):
     assert np.mean(recall) >= 0.9
 
 
-def test_nearest_recall_of_larger_tables(spark, monkeypatch):
-    monkeypatch.setattr(rp_forest, "SAMPLE_VALUES", 10000 * 64)  # a table of twice the sample
+@pytest.mark.parametrize("clustered", [False, True])
+@pytest.mark.parametrize("n", [500, 6000, 60000])
+def test_nearest_recall_by_size(spark, monkeypatch, tmp_path, n, clustered):
+    """Rows with and without structure, the largest table six times the sample, leaves in several parts."""
+    monkeypatch.setattr(rp_forest, "SAMPLE_VALUES", 10000 * 64)
+    monkeypatch.setattr(rp_forest, "PART_VALUES", 100 * 64)
     rng = np.random.default_rng(4)
-    m = rng.normal(size=(20000, 64)) * rng.uniform(0.5, 1, 64)
-    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id bigint, embedding array<double>")
-    mine = collections.defaultdict(set)
-    for r in rp_forest.nearest(df, F.col("vec_id") % 1000 == 0).collect():
+    m = rng.normal(size=(n, 64))
+    if clustered:
+        m = 0.5 * m + 2 * rng.normal(size=(max(5, n // 300), 64))[rng.integers(0, max(5, n // 300), n)]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(m)}), tmp_path / "v.parquet")
+    mine, step = collections.defaultdict(set), max(20, n // 50)
+    for r in rp_forest.nearest(spark.read.parquet(f"file://{tmp_path}/v.parquet"), F.col("vec_id") % step == 0).collect():
         mine[r["query_id"]].add(r["vec_id"])
     recall = []
-    for q in range(0, len(m), 1000):
+    for q in range(0, n, step):
         d = ((m - m[q]) ** 2).sum(1)
         d[q] = np.inf
         recall.append(len(set(np.argsort(d)[:10].tolist()) & mine[q]) / 10)
     assert np.mean(recall) >= 0.9
 
 
+def test_nearest_ties_of_different_vectors(spark):
+    rows = [(i, [float(i % 2), float(i // 2 % 2), float(i // 4 % 2), 1.0]) for i in range(8)] + [(i + 8, [5.0 * (i % 3), 9.0, 1.0 * i, 1.0]) for i in range(300)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rp_forest.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), F.col("vec_id") == 0, k=5).collect()}
+    assert [got[0, i] for i in range(1, 6)] == [(1, 1.0), (2, 1.0), (4, 1.0), (3, 2**0.5), (5, 2**0.5)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
