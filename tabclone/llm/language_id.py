@@ -9,7 +9,8 @@ reach the driver one partition at a time, and the model (languages x TABLE float
 
 Defined cases: a text that is null or has no letter is "und" with score 0; letters of scripts that no language was seen in score
 alike under all of them, and the language of most training letters wins ties; repeated rows and null ids are labelled row by
-row; an empty table gives an empty one; with no labelled row every text is "und"; other columns pass through untouched.
+row; an empty table gives an empty one; with no labelled row every text is "und"; a column with the name of the new one gives way
+to it, and other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ SCRIPTS = (
 _FIRST = np.array([a for a, _ in SCRIPTS])
 _NAMES = list(dict.fromkeys(n for _, n in SCRIPTS))
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
-_words = regex.compile(r"\p{L}+").findall
+#: A letter, then letters and the marks on them, such as the vowel signs of Indic scripts.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+_words = regex.compile(WORD).findall
 
 
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +201,7 @@ def spans(docs: DataFrame, model: Model, text: str = "text", switch: float = SWI
     spark = docs.sparkSession
     base.tune(spark)
     own = spark.sparkContext.broadcast(model)
-    at = regex.compile(r"\p{L}+").finditer
+    at = regex.compile(WORD).finditer
 
     @F.pandas_udf("array<struct<start: int, end: int, language: string>>")
     def tell(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,7 +8,7 @@ verdicts are computed on every whole text without a shuffle.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows and null ids are judged row by row; no
 labels, or of one class only, give an empty list that rejects nothing; an empty table gives an empty one; other columns pass
-through judge() untouched, whatever their names, since all statistics live in one struct column.
+through judge() untouched, whatever their names, since all statistics live in one struct column, for which one of its name gives way.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text", into: str = "q
     """docs with one more column: a struct of the statistics, base_failed, rule (the number of the rule that holds) and kept."""
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), statistics(f"`{text}`").alias("stats"))
     told = F.struct("stats.*", base_failed().alias("base_failed"), verdict(rules).alias("rule"), (~base_failed() & verdict(rules).isNull()).alias("kept"))
-    return inner.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), told.alias(into))
+    return inner.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() != into.lower()), told.alias(into))
 
 
 def describe(rules: list[Rule]) -> list[str]:

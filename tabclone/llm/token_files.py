@@ -119,6 +119,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 lens = r.column("doc_lens").flatten().to_numpy()
                 ids = decompress(r.column("index").flatten().to_pylist(), r.column("payload")[0].as_py(), r.column("n_ids")[0].as_py(), r.column("planes")[0].as_py())
                 offsets = np.concatenate(([0], np.cumsum(lens)))
+                if offsets[-1] >= 1 << 29:  # segments are far smaller, so this is one document
+                    raise ValueError("a document of 2^29 ids or more is longer than a binary value can be")
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
                 yield pa.RecordBatch.from_pydict({"doc_id": r.column("doc_ids").flatten(), "start": offsets[:-1] + r.column("at")[0].as_py(), "n_tokens": lens, "ids": data})
 
