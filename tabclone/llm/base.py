@@ -48,8 +48,25 @@ def shuffles(spark: SparkSession) -> int:
 
 
 def text_key(col: str | Column) -> Column:
-    """Sixteen bytes that stand for a text; a null text counts as the empty one."""
-    return F.unhex(F.md5(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))))
+    """Sixteen bytes that stand for a text, the first of its SHA-256 (no two texts are known to share them); a null text counts as the empty one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), 256), 1, 32))
+
+
+#: A group of fewer rows is never hot.
+HOT = 512
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with groups, a written table with one row for each value of on and the number n of rows that have it.
+
+    A group of more rows than a quarter of a partition (of HOT at least) is hot; there are four of them a partition at most, so
+    they are broadcast, and their rows stay where they are.  All others meet by hash.  rows is read twice; nulls meet nothing.
+    """
+    bar = max(HOT, rows.count() // (4 * shuffles(rows.sparkSession)))
+    hot, cold = groups.where(F.col(n) > bar), groups.where(F.col(n) <= bar)
+    if hot.isEmpty():
+        return rows.join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

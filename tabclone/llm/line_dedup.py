@@ -9,13 +9,16 @@ compared hold the blank lines inside.
 A candidate is removed wherever it occurs but for its first occurrence (smallest document id, then position).  Candidates share
 a 128-bit hash; one goes only if its bytes equal those of the first.
 
-Only hashes and positions are dealt out by hash, once, and a group is never held as a whole, so a passage in a third of all
-documents is a long run of small rows.  Texts travel once, to meet their chunks' decisions.  The byte comparison then joins the
-repeated chunks alone with their firsts; its result is the chunks that differ, which stay: hardly any, so it is written first.
+Occurrences are counted with map-side partial sums.  The firsts of hot chunks (those that hold more than a quarter of a partition
+of all rows, so at most four for each partition) are broadcast; the rows of all others are dealt out by hash, as hashes and
+positions only.  Texts travel once, to meet their chunks' decisions.  The byte comparison then joins the repeated chunks alone
+with their firsts, a hot chunk in as many parts as its count asks for; its result is the chunks that differ, which stay: hardly
+any, so it is written first.
 
 Defined cases: a null text stays null, an empty one empty; blank lines go where both sides of them go in one run,
 and stay otherwise; rows equal in id and text are one document to the method (each gets the same text, which keeps a chunk first
-seen there); null ids come first; an empty table gives an empty one; other columns pass through untouched.
+seen there); null ids come first; an empty table gives an empty one; a column with the name of the new one gives way to it, and
+other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ from . import base
 
 #: Lines of the rolling hash, the mean length of chunks in lines, and the words that make a run of lines a passage.
 WINDOW, DIVISOR, LONG = 2, 3, 50
-#: Chunks longer than this many lines are cut.
-MOST_LINES = 64
+#: Occurrences of a chunk that are compared in one part.
+PART = 512
 _MASK = (1 << 64) - 1
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_OUT = pow(_MULTIPLIER, WINDOW, 1 << 64)
 CHUNKS = "key binary, id bigint, h binary, pos int, len int"
 
 
@@ -62,17 +66,18 @@ def chunks(text: str) -> Iterator[tuple[int, int]]:
 
 def _content(text: str, run: list[tuple[int, int, int]], found: set[tuple[int, int]]) -> None:
     """Chunks that end where the hash of the last WINDOW lines says so; a chunk of one short line goes on."""
-    first = before = 0
+    first = rolled = 0
+    last = [0] * WINDOW  # hashes of the last WINDOW lines, in a ring
     for i, (a, b, n) in enumerate(run):
         if n >= LONG:
             if i - first > 1:
                 found.add((run[first][0], run[i - 1][1]))
-            first, before = i + 1, 0
+            first, rolled, last = i + 1, 0, [0] * WINDOW
             continue
         h = xxhash.xxh3_64_intdigest(text[a:b])
-        rolled = ((before * _MULTIPLIER) ^ h) & _MASK  # the last WINDOW lines
-        before = h
-        if i > first and ((rolled >> 32) % DIVISOR == 0 or i - first + 1 == MOST_LINES):
+        rolled = (rolled * _MULTIPLIER + h - last[i % WINDOW] * _OUT) & _MASK
+        last[i % WINDOW] = h
+        if i > first and (rolled >> 32) % DIVISOR == 0:
             found.add((run[first][0], b))
             first = i + 1
     if len(run) - first > 1:
@@ -131,15 +136,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str
     found = base.cut(texts.mapInArrow(_find, CHUNKS), "line-chunks")
     # null ids sort first in a struct; one document is one occurrence at each position
     place = F.struct("id", "key", "pos", "len")
-    # place has every column, so that both readers of dealt share its exchange
-    dealt = found.repartition("h")
-    first = dealt.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    said = dealt.join(first.select("h", "first"), "h").select("key", F.struct("h", "pos", "len", (place == F.col("first")).alias("is_first")).alias("span"))
-    spans = said.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    counted = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first != last")
+    repeated = base.cut(counted.select("h", "first", F.ceil(F.col("n") / PART).cast("int").alias("parts"), "n"), "line-repeated")
+    met = base.spread_join(found, repeated, ["h"], "n")
+    spans = met.groupBy("key").agg(F.collect_set(F.struct("h", "pos", "len", (place == F.col("first")).alias("is_first"), "parts")).alias("spans"))
     marked = base.cut(held.join(spans, "key", "left"), "line-marked")
     pieces = marked.where("spans IS NOT NULL").select("key", F.col(f"row.`{text}`").cast("string").alias("text"), F.explode("spans").alias("s")).select("key", "s.*", F.expr("substring(text, s.pos + 1, s.len)").alias("piece"))
-    kept = pieces.where("is_first").select("h", F.col("piece").alias("other")).groupBy("h").agg(F.first("other").alias("other"))
-    differ = pieces.where("NOT is_first").join(kept, "h").where("piece != other").select("key", "pos", "len").distinct()
+    # the first of a hot chunk goes to each of its parts
+    kept = pieces.where("is_first").groupBy("h").agg(F.first("piece").alias("other"), F.first("parts").alias("parts")).select("h", "other", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    others = pieces.where("NOT is_first").withColumn("part", F.pmod(F.xxhash64("key", "pos"), F.col("parts")).cast("int"))
+    differ = others.join(kept, ["h", "part"]).where("piece != other").select("key", "pos", "len").distinct()
     stay = base.cut(differ.groupBy("key").agg(F.collect_set(F.struct("pos", "len")).alias("stay")), "line-stay")
     joined = marked.join(stay, "key", "left")
     gone = F.expr("filter(coalesce(spans, array()), s -> NOT s.is_first AND NOT coalesce(exists(stay, x -> x.pos = s.pos AND x.len = s.len), false))")
@@ -148,12 +154,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str
 
 def _rebuilt(rows: DataFrame, columns: list[str], text: str, into: str | None) -> DataFrame:
     body = F.col(f"row.`{text}`").cast("string")
-    done = rows.withColumn("text", F.when(F.size("gone") == 0, body).otherwise(F.pandas_udf(_cut_out, "string")(body, F.expr("transform(gone, s -> s.pos)"), F.expr("transform(gone, s -> s.len)"))))
-    out: list[Column] = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns]
+    # only texts with something to cut travel to Python
+    some = F.when(F.size("gone") > 0, body)
+    done = rows.withColumn("text", F.coalesce(F.pandas_udf(_cut_out, "string")(some, F.expr("transform(gone, s -> s.pos)"), F.expr("transform(gone, s -> s.len)")), body))
+    out: list[Column] = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns if not into or c.lower() != into.lower()]
     if into:
         out.append((F.coalesce(F.char_length(body), F.lit(0)) - F.coalesce(F.char_length("text"), F.lit(0))).alias(into))
     return done.select(*out)
 
 
 def _cut_out(texts: pd.Series, pos: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([_without(t, list(zip(p, n, strict=True))) if t is not None and len(p) else t for t, p, n in zip(texts, pos, size, strict=True)], dtype=object)
+    return pd.Series([None if t is None else _without(t, list(zip(p, n, strict=True))) for t, p, n in zip(texts, pos, size, strict=True)], dtype=object)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabclone.llm import bpe, language_id, library_bpe, line_dedup, packing, quality_rules, token_files
+from tabclone.llm import base, bpe, language_id, library_bpe, line_dedup, packing, quality_rules, token_files
 
 SCHEMA = "doc_id bigint, text string, key string, ids string, bucket int, stats int"
 LONG = "Some words of a long text, again. " * 3000
@@ -390,3 +390,62 @@ def test_line_dedup_runs_over_blank_lines(spark):
     rows = planted("\n\n")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == without_passages(rows) and all(got[i] == t for i, t in rows if i % 2 == 0)
+
+
+def test_line_dedup_of_hot_passages_and_long_texts(spark, monkeypatch):
+    """A passage in most documents takes the broadcast way, and its comparison several parts."""
+    monkeypatch.setattr(line_dedup, "PART", 3)
+    monkeypatch.setattr(base, "HOT", 3)
+    rnd = random.Random(12)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    hot, rare = [line(20) for _ in range(4)], [line(20) for _ in range(4)]
+    rows = [(i, "\n".join([line(9), *hot, line(9), *(rare if i % 20 == 0 else []), line(9)])) for i in range(90)]
+    rows += [(200, "\n".join([*(line(9) for _ in range(30000)), *hot, line(9)])), (201, "\n".join(line(9) for _ in range(20)) + "\n" + "\n".join(rare))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(5, rows[5][1], 2), (None, rows[3][1], 3)], "doc_id bigint, text string, h int")
+    got = collections.defaultdict(list)
+    for r in line_dedup.dedup(df).collect():
+        got[r["doc_id"], r["h"]].append(r["text"])
+    # the null id comes first, and so keeps the passage
+    passage = "\n".join(hot)
+    assert got[None, 3] == [rows[3][1]] and got[0, 1] == [rows[0][1].replace(passage + "\n", "")]
+    assert all(passage not in t and all(x not in t for x in hot) for k, x in got.items() if k != (None, 3) for t in x)
+    assert sum("\n".join(rare) in t for x in got.values() for t in x) == 1 and got[5, 1] == got[5, 2]
+    assert len(got[200, 1][0].split("\n")) == 30001 and len(got[201, 1][0].split("\n")) == 20
+
+
+def test_a_column_of_the_new_name_gives_way(spark):
+    df = spark.createDataFrame([(1, "the house of the people", "x", "y", "z")], "doc_id bigint, text string, Language string, q string, removed string")
+    model = language_id.train(spark.createDataFrame([("en", "the house of the people " * 5)], "lang string, text string"))
+    assert language_id.label(df, model).first()["language"]["lang_pred"] == "en"
+    assert quality_rules.judge(df, [], into="q").columns == ["doc_id", "text", "Language", "removed", "q"]
+    assert quality_rules.judge(df, [], into="q").first()["q"]["n_words"] == 5
+    assert line_dedup.dedup(df, into="Removed").first()["Removed"] == 0
+
+
+def test_language_id_keeps_vowel_signs_in_words():
+    assert language_id._words("हिन्दी भाषा, ไทย 12 é e\u0301") == ["हिन्दी", "भाषा", "ไทย", "é", "e\u0301"]
+
+
+def test_language_labels_equal_enumeration(spark):
+    """Label and score of whole texts against every path over the words, by the model's own word scores."""
+    import itertools
+
+    rnd = random.Random(3)
+    lex = {"en": "the house of people and law with".split(), "fr": "la maison de loi et le peuple".split(), "ru": "народ и закон дом".split()}
+    model = language_id.train(spark.createDataFrame([(k, " ".join(rnd.choice(v) for _ in range(80))) for k, v in lex.items() for _ in range(3)], "lang string, text string"))
+    texts = [" ".join(rnd.choice(lex[rnd.choice(list(lex))]) for _ in range(rnd.randrange(1, 8))) for _ in range(40)]
+    got = {r["text"]: r["language"] for r in language_id.label(spark.createDataFrame([(t,) for t in texts], "text string"), model, switch=3.0).collect()}
+    for t in texts:
+        words = t.split()
+        s = model.score(words)
+        value = lambda p: sum(s[i, x] for i, x in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: E731, B023
+        paths = sorted(itertools.product(range(3), repeat=len(words)), key=value, reverse=True)
+        told = set()
+        for p in paths:  # paths of the same value may differ
+            if value(p) < value(paths[0]) - 1e-4:
+                break
+            letters = collections.Counter()
+            for w, x in zip(words, p, strict=True):
+                letters[model.languages[x]] += len(w)
+            told |= {(k, round(n / sum(letters.values()), 6)) for k, n in letters.items() if n == max(letters.values())}
+        assert (got[t]["lang_pred"], round(got[t]["score"], 6)) in told
