@@ -12,18 +12,18 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """node and root (the smallest node of its component) for every node of edges(a, b); large star and small star in turn.
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest among them; at the end each component
-    is a star around its smallest node.  Rounds are written to the shared folder.  A hub costs its number of links, no more.
+    is a star around its smallest node.  Rounds are written to the shared folder.  A hub costs its number of links, no more,
+    and its links are not dealt to one task (base.spread_join).
     """
     now = base.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), tag)
     last = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        low = base.cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), tag)
+        large = base.cut(base.spread_join(both, low, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), tag)
         # now every link points down: a > b
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b")))
+        least = base.cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), tag)
+        small = base.spread_join(large, least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b")))
         now = base.cut(small.distinct(), tag)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:

@@ -1,16 +1,20 @@
 """N-gram Jaccard join by MinHash banding, verified on the full n-gram sets.
 
-Texts are equal or not by all their bytes; equal ones are one class member to the join, with a number of copies.  Each distinct
-text has the set of its runs of NGRAM words (lower case, cut at white space; a shorter text is one run) and a signature of
-BANDS x ROWS minima, chosen so that a pair at the threshold shares a band with the target probability.  Distinct texts meet by
+Texts are equal or not by 128 bits of the SHA-256 of all their bytes; equal ones are one class member to the join, with a number
+of copies.  Each distinct text has the set of its runs of NGRAM words (lower case, cut at white space; a shorter text is one
+run), each as 64 bits of hash, and a signature of bands x rows minima, chosen so that a pair at the threshold shares a band with the target probability.  Distinct texts meet by
 band hash.  A bucket all of whose members also share an earlier band is passed over; in the others, each pair that shares no
 earlier band is verified once, on the full sets.  A large bucket is dealt out as pairs of blocks, so that no task holds more
 than two blocks, and pairs are counted where they are verified: out come each text's number of links and a spanning forest of
 the block, never all pairs.  Classes are the components of these links.
 
+No hash deals all rows of a large group to one task: hot buckets, classes and texts meet what is joined with them by broadcast
+(base.spread_join), and of equal texts one row alone, found by its id, lends its text.
+
 Defined cases: a null text counts as an empty one; texts without a word are similar to none but equal texts; a document's id in
 results is its own, null or repeated; repeated rows count as copies; a class is named by the smallest id in it (null if it has
-none); an empty table gives an empty one; further columns are not read.
+none); a pair whose similarity is just the threshold is linked, and order plays no part; a text of any length has its full set,
+and travels alone in its batch if it is long; an empty table gives an empty one; further columns are not read.
 """
 
 from __future__ import annotations
@@ -110,14 +114,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, doc_
     texts = base.cut(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "ngram-texts")
     # slim rows until it is known which texts meet any other
     met = texts.select("key", F.posexplode("bands").alias("band", "h"))
-    shared = met.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1")
-    meeting = base.cut(met.join(shared, ["band", "h"]), "ngram-meeting").join(texts.select("key", "copies", "bands"), "key")
+    shared = base.cut(met.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1"), "ngram-shared")
+    meeting = base.cut(base.spread_join(met, shared, ["band", "h"], "members"), "ngram-meeting").join(texts.select("key", "least", "copies", "bands"), "key")
     # a bucket whose members all share an earlier band has nothing to add
     earlier = F.expr(" OR ".join(f"(band > {j} AND min(bands[{j}]) = max(bands[{j}]))" for j in range(bands - 1)) or "false")
-    buckets = meeting.groupBy("band", "h").agg(earlier.alias("seen")).where("NOT seen")
-    placed = base.cut(meeting.join(buckets.select("band", "h"), ["band", "h"]), "ngram-buckets")
-    needed = placed.select("key").distinct()
-    sets = _sets(own.select("key", "text").join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), ngram)
+    buckets = base.cut(meeting.groupBy("band", "h").agg(earlier.alias("seen"), F.count("*").alias("n")).where("NOT seen").select("band", "h", "n"), "ngram-open")
+    placed = base.cut(base.spread_join(meeting, buckets, ["band", "h"], "n").drop("n"), "ngram-buckets")
+    sets = _sets(_lenders(own, placed.select("key", "least").distinct()), ngram)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.when(blocks > 1, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0)).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, mine) AS low, greatest(x, mine) AS high))")
@@ -128,10 +131,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, doc_
     checked = base.cut(dealt.mapInArrow(lambda b: _verify(b, threshold), "key binary, links bigint, other binary"), "ngram-links")
     links = checked.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(checked.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")), "ngram-components")
-    known = texts.select("key", "least", "copies").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    classed = known.join(named, "root").select("key", "root", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
-    return signed.select("doc_id", "key").join(classed, "key").select("doc_id", "key", "root", "class_id", "copies", "n_links")
+    known = base.cut(texts.select("key", "least", "copies").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "ngram-roots")
+    named = base.cut(known.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n")), "ngram-classes")
+    told = base.spread_join(known, named, ["root"], "n")
+    classed = base.cut(told.select("key", "root", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links")), "ngram-texts-classed")
+    return base.spread_join(signed.select("doc_id", "key"), classed, ["key"], "copies").select("doc_id", "key", "root", "class_id", "copies", "n_links")
+
+
+def _lenders(own: DataFrame, needed: DataFrame) -> DataFrame:
+    """key and text, once for each needed key: copies of a text are dealt out by their ids, too, and the one of the least id stays."""
+    told = lambda df, c: df.withColumn("id", F.coalesce(c, F.lit(0))).withColumn("no_id", F.col(c).isNull())
+    on = ["key", "id", "no_id"]
+    return told(own, "doc_id").join(told(needed, "least").select(*on), on, "left_semi").groupBy(*on).agg(F.first("text").alias("text")).select("key", "text")
 
 
 def _sets(texts: DataFrame, ngram: int) -> DataFrame:
@@ -240,6 +251,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM,
     best = classes.groupBy("key").agg(F.first("root").alias("root"), F.min("doc_id").alias("least"))
     first = best.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("f")).select(F.col("f.key").alias("key"), F.col("f.least").alias("least"))
     columns = docs.columns
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), base.text_key(f"`{text}`").alias("key"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
-    met = held.join(first, "key").where("id <=> least").dropDuplicates(["key", "id"])
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), base.text_key(f"`{text}`").alias("key"), F.col(f"`{doc_id}`").cast("bigint").alias("least"))
+    # by text and id, so that copies of a text don't meet in one task
+    on = ["key", "id", "no_id"]
+    told = lambda df: df.withColumn("id", F.coalesce("least", F.lit(0))).withColumn("no_id", F.col("least").isNull())
+    met = told(held).join(told(first).select(*on), on, "left_semi").groupBy(*on).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return met.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
