@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .errors import BadConditional, BadEvents, BadLadder, BlockedWrite, ConditionalDegraded, FewRows, HighLeakage, HighOverride, MissingPlan, ModeUnset, TooFewRows, warn  # type: ignore[attr-defined]
+from .errors import AuditMissing, BadConditional, BadOriginal, BadTable, BadEvents, BadLadder, BlockedWrite, ConditionalDegraded, FewRows, HighLeakage, HighOverride, MissingPlan, ModeUnset, TooFewRows, warn  # type: ignore[attr-defined]
 from .functions import rng
-from .functions.kinds import kinds, nan_to_null
+from .functions.kinds import LEVELS, kinds, nan_to_null
 from .functions.patterns import CATEGORICAL, DATES, NUMERIC
 from .operators import alias, conditional, copula, events, geo, grain, hygiene, jitter, permute
-from .operators.audit import audit, release_status
+from .operators.audit import audit, release_status, report
 from .plans.plan import Plan
 from .plans.recipe import Recipe, fingerprint
 from .sources.scratch import cut
@@ -47,17 +47,64 @@ class Clone:
             warn(HighOverride, "released with high findings")
 
 
+def audit_mask(done: Clone, original: DataFrame | None = None, key: list[str] | None = None, show: bool = True) -> tuple[list[dict], list[dict]]:
+    """The audit of a clone: the stored one, or (a local clone has none) one against the original, whose rows meet the clone's by key.
+
+    The key has to be in the clone, kept or aliased.
+    """
+    if done.columns is None:
+        if original is None or not key:
+            raise AuditMissing("no audit is stored with this clone; give the original and a key")
+        recipe = done.recipe
+        own = recipe._cleaned(original)
+        if missing := [e.col for e in recipe.plan.entries if e.col not in own.columns]:
+            raise BadOriginal(f"the original lacks columns of the plan: {missing}", missing)
+        seen = done.data.withColumnsRenamed({v: k for k, v in recipe.names.items()})
+        key = [recipe.clean_names.get(k, k) for k in key]
+        if lost := [k for k in key if k not in seen.columns or (recipe.plan[k].action != "keep" and recipe.map_kind(k) == "none")]:
+            raise BadOriginal(f"the clone doesn't have the key {lost}, kept or aliased", lost)
+        # the clone's rows get their ids from the key in the original's values
+        held = seen.withColumns({f"__{k}": F.col(f"`{k}`") for k in key})
+        for k in key:
+            if k in recipe.maps:
+                held = alias.translate(held, f"__{k}", recipe.maps[k], "alias", "original")
+        rows = unique(with_rid(held, [f"__{k}" for k in key]), key).select(RID, *(F.col(f"`{c}`") for c in seen.columns))
+        done.columns, done.joint = audit(unique(with_rid(own, key), key), rows, recipe, RID, list(recipe.conditioning.get("used", ())), tuple(recipe.linked))
+    if show:
+        print(report(done.columns, done.joint or [], done.mode))
+    return done.columns, done.joint or []
+
+
 def with_rid(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """df with __rid: a text of the key columns, which have to be unique; or else a hash of the row and its number among equal rows."""
+    """df with __rid: a text of the key columns, which have to be unique (several as a JSON array); or else a hash of the row and its number among equal rows."""
     if keys:
-        return df.withColumn(RID, F.concat_ws("|", *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in keys)))
+        texts = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in keys]
+        return df.withColumn(RID, texts[0] if len(texts) == 1 else F.to_json(F.array(*texts)))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     hashed = df.withColumn("__h", F.md5(F.to_json(row)))
     return hashed.withColumn(RID, F.concat_ws("#", "__h", F.row_number().over(Window.partitionBy("__h").orderBy("__h")).cast("string"))).drop("__h")
 
 
-def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int | str | None = None, key: list[str] | None = None, clean: str = "auto", alias_names: bool | list[str] = False, use_conditional: bool = False, ladder: str = "hierarchy", coords: list[geo.CoordSpec] | None = None, event_specs: list[events.EventSpec] | None = None, use_grain: bool = True, allow_unmasked_coords: bool = False, allow_kept_outcome: bool = False, shared_maps: dict[str, DataFrame] | None = None, do_audit: bool | None = None) -> Clone:
-    """Every column is kept, scrambled, aliased or dropped by plan.  Rows are told apart by key, if given."""
+def unique(source: DataFrame, key: list[str]) -> DataFrame:
+    """source, if its row ids are all different; a clone joins on them, so a repeated one would multiply rows."""
+    if twice := source.groupBy(RID).count().where("count > 1").limit(1).collect():
+        raise BadTable(f"the key {key} has a value for several rows", twice[0][RID])
+    return source
+
+
+def whole_valued(df: DataFrame, cols: list[str]) -> set[str]:
+    """The columns all of whose values are whole numbers; one pass."""
+    if not cols:
+        return set()
+    r = df.agg(*(F.coalesce(F.bool_and(F.col(f"`{c}`") == F.floor(F.col(f"`{c}`").cast("double"))), F.lit(False)).alias(c) for c in cols)).first()
+    return {c for c in cols if r[c]}
+
+
+def mask(df: DataFrame | hygiene.Conformance, plan: Plan | None, mode: str | None = None, seed: int | str | None = None, key: list[str] | None = None, clean: str = "auto", alias_names: bool | list[str] = False, use_conditional: bool = False, ladder: str = "hierarchy", coords: list[geo.CoordSpec] | None = None, event_specs: list[events.EventSpec] | None = None, use_grain: bool = True, allow_unmasked_coords: bool = False, allow_kept_outcome: bool = False, shared_maps: dict[str, DataFrame] | None = None, do_audit: bool | None = None) -> Clone:
+    """Every column is kept, scrambled, aliased or dropped by plan.  Rows are told apart by key, if given, which has to be unique.
+
+    Of a conformed table the recipe records merges and types, too, and replays them.
+    """
     if plan is None:
         raise MissingPlan("masking needs a plan; propose one and review it")
     if ladder not in ("hierarchy", "levels"):
@@ -67,13 +114,15 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
     if mode is None and plan.mode is None:
         warn(ModeUnset, "no mode is given: the clone is for local use")
     seed = rng.check_seed(seed)
-    cleaning = hygiene.clean(nan_to_null(df), clean)
+    conformed = df if isinstance(df, hygiene.Conformance) else None
+    cleaning = replace(conformed.cleaning, data=nan_to_null(conformed.data)) if conformed else hygiene.clean(nan_to_null(df), clean)
     plan = plan.renamed(cleaning.names).validate(cleaning.data, mode)
     mode, shared = plan.mode, plan.mode == "collaborate"
     maps, permuted, linked = {}, [], dict(shared_maps or {})
     coords, event_specs = coords or [], event_specs or []
     key = [cleaning.names.get(k, k) for k in key] if key else None
-    source = with_rid(cleaning.data, key)
+    # without a key, ids come from a window over all rows, which every column would compute again
+    source = unique(with_rid(cleaning.data, key), key) if key else cut(with_rid(cleaning.data), "mask-source")
     geo.guard(cleaning.data, plan, coords, allow_unmasked_coords)
     timed = [c for s in event_specs for c in s.time + s.status]
     for s in event_specs:
@@ -115,10 +164,11 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
                     mean = F.avg(c).over(Window.partitionBy("__stratum"))
                     drawn = drawn.withColumn(c, mean + (F.col(f"`{c}`") - mean) * spread)
             drawn = copula.resimulate(cut(drawn, "mask-strata"), numeric, RID, seed, by=["__stratum"])
-            for c in numeric:
-                if f"__shift_{c}" in drawn.columns:
-                    x = F.col(f"`{c}`") + F.col(f"__shift_{c}")
-                    drawn = drawn.withColumn(c, (F.rint(x) if own[c] == "integer" else x).cast(types[c]))
+            moved_by = [c for c in numeric if f"__shift_{c}" in drawn.columns]
+            whole = whole_valued(source, [c for c in moved_by if own[c] != "integer"])
+            for c in moved_by:
+                x = F.col(f"`{c}`") + F.col(f"__shift_{c}")
+                drawn = drawn.withColumn(c, (F.rint(x) if own[c] == "integer" or c in whole else x).cast(types[c]))
         else:
             drawn = copula.resimulate(drawn, numeric, RID, seed)
         if shared:
@@ -161,6 +211,16 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
         out = geo.geomask(out, spec, seed, RID)
     recipe = Recipe(plan, seed, RID, maps, {}, cleaning.names, cleaning.trimmed, {}, permuted, [asdict(s) for s in coords], [asdict(s) for s in event_specs], [asdict(g) for g in grains], conditioning, allow_kept_outcome)
     recipe.integrity = fingerprint(cleaning.data)
+    if conformed:
+        recipe.merges = conformed.merges if conformed.applied["merges"] else None
+        recipe.types = conformed.types if conformed.applied["types"] else {}
+        recipe.type_levels = conformed.levels if conformed.applied["types"] else {}
+    recipe.linked = [c for c in linked if c in source.columns]
+    for c, m in maps.items():
+        if own[c] == "factor" and (was := source.schema[c].metadata.get(LEVELS)):
+            # as many as the levels that the schema holds; aliases in their own order give the order of the levels away to nobody
+            recipe.factors[c] = {"original": was, "clone": was if c in permuted else [r[0] for r in m.select("alias").orderBy("alias").collect()], "ordered": bool(source.schema[c].metadata.get("ordered"))}
+    out = recipe.with_levels(out, "clone")
     kept = [c for c in cleaning.data.columns if c not in recipe.dropped()]
     out = out.select(RID, *(F.col(f"`{c}`") for c in kept))
     clone = Clone(out.drop(RID), recipe, mode)
@@ -170,7 +230,9 @@ def mask(df: DataFrame, plan: Plan | None, mode: str | None = None, seed: int |
         clone.columns, clone.joint = audit(source, out, recipe, RID, strata, tuple(linked))
         if clone.status() == "blocked":
             warn(HighLeakage, f"high findings: {[r['col'] for r in clone.columns if r['leakage_class'] == 'high']}")
-    recipe.names = alias.alias_names(kept, alias_names)
+    # joins go by the names of links, which stay; a link counts as aliased whatever its plan says
+    recipe.names = {c: n for c, n in alias.alias_names(kept, alias_names).items() if c not in recipe.linked}
+    recipe.plan = replace(plan, entries=tuple(replace(e, action="alias") if e.col in recipe.linked else e for e in plan.entries))
     recipe.rid = None
     clone.data = clone.data.withColumnsRenamed(recipe.names)
     return clone

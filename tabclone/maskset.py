@@ -14,7 +14,7 @@ from .functions.kinds import kinds
 from .functions.patterns import CATEGORICAL, INFO_TABLE, NUMERIC, matches
 from .mask import Clone, mask
 from .operators.alias import alias_map
-from .operators.hygiene import legal_names
+from .operators.hygiene import Conformance, legal_names
 from .plans.plan import Plan, propose
 
 LONG_TEXT = 25
@@ -76,11 +76,12 @@ def shared_maps(tables: dict[str, DataFrame], links: list[str], seed: str) -> di
     return out
 
 
-def mask_set(tables: dict[str, DataFrame], plans: dict[str, Plan] | None = None, links: list[str] | bool | None = None, mode: str | None = None, seed: int | str | None = None, info: list[str] | None = None, keys: dict[str, list[str]] | None = None, **options: object) -> CloneSet:
+def mask_set(tables: dict[str, DataFrame | Conformance], plans: dict[str, Plan] | None = None, links: list[str] | bool | None = None, mode: str | None = None, seed: int | str | None = None, info: list[str] | None = None, keys: dict[str, list[str]] | None = None, **options: object) -> CloneSet:
     """Clones of all tables but the info ones, with one seed and shared maps for their links."""
     if bad := [n for n in info or [] if n not in tables]:
         raise BadInfo(f"no such tables: {bad}", bad)
-    own = {n: t.withColumnsRenamed(legal_names(t.columns)) for n, t in tables.items() if n not in (info or [])}
+    given = {n: t if isinstance(t, Conformance) else t.withColumnsRenamed(legal_names(t.columns)) for n, t in tables.items() if n not in (info or [])}
+    own = {n: t.data if isinstance(t, Conformance) else t for n, t in given.items()}
     for n, t in own.items():
         if looks_like_info(n, t):
             warn(InfoHint, f"{n} looks like documentation; name it in info to set it aside")
@@ -98,7 +99,7 @@ def mask_set(tables: dict[str, DataFrame], plans: dict[str, Plan] | None = None,
     found = [c for c in found if any(plans[n][c].action != "keep" for n in own if c in own[n].columns)]
     seed = rng.check_seed(seed)
     maps = shared_maps(own, found, seed)
-    clones = {n: mask(t, plans[n], mode, seed, (keys or {}).get(n), shared_maps={c: m for c, m in maps.items() if c in t.columns}, **options) for n, t in own.items()}
+    clones = {n: mask(given[n], plans[n], mode, seed, (keys or {}).get(n), shared_maps={c: m for c, m in maps.items() if c in t.columns}, **options) for n, t in own.items()}
     return CloneSet(clones, found, mode, list(info or []))
 
 

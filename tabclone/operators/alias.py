@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..errors import UnmappedValue  # type: ignore[attr-defined]
 from ..functions import rng
+from ..functions.kinds import LEVELS
 from .ranking import hash_index
 
 
 def levels(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(f"`{col}`").alias("original")).where("original IS NOT NULL").distinct()
+    """The values of col; of a factor also the levels that no row has."""
+    seen = df.select(F.col(f"`{col}`").alias("original")).where("original IS NOT NULL")
+    if own := df.schema[col].metadata.get(LEVELS):
+        seen = seen.unionByName(df.sparkSession.createDataFrame([(x,) for x in own], "original string"))
+    return seen.distinct()
 
 
 def alias_map(values: DataFrame, prefix: str, seed: str, stream: str) -> DataFrame:

@@ -307,6 +307,21 @@ def notes(f: Finding) -> str:
     return "; ".join(said) or "ok"
 
 
+def report(rows: list[dict], joint_rows: list[dict], mode: str) -> str:
+    """The audit in words: counts, the columns from high to low, and the checks of the whole table."""
+    counts = {k: sum(r["leakage_class"] == k for r in rows) for k in ("high", "medium", "low")}
+    said = [f"audit (mode {mode})", f"{counts['high']} high, {counts['medium']} medium, {counts['low']} low of {len(rows)} columns"]
+    if rows and rows[0]["na_pattern_uniqueness"] is not None:
+        said.append(f"rows with a pattern of missing values of their own: {100 * rows[0]['na_pattern_uniqueness']:.1f}%")
+    for k in counts:
+        some = [r for r in rows if r["leakage_class"] == k]
+        said += [f"{k} ({len(some)})"] * bool(some) + [f"  {r['role']:<9} {r['col']:<32} {r['notes']}" for r in some]
+    for r in joint_rows:
+        figures = "" if r["excess"] is None else f": {r['excess']:.1f} more than by chance"
+        said.append(f"  {'note' if r['leakage_class'] == 'info' else r['leakage_class']:<9} {r['check']} of {r['cols']}{figures}")
+    return "\n".join(said)
+
+
 def tally(rows: list[dict], joint_rows: list[dict]) -> dict[str, int]:
     every = [r["leakage_class"] for r in rows + joint_rows]
     return {k: every.count(k) for k in ("high", "medium", "low")}

@@ -57,14 +57,19 @@ def propose_environments(cols: list[str], treatments: list[str], plan: Plan | No
 
 
 def evaluate(df: DataFrame, c: Candidate, treatment: str | None) -> Candidate:
-    """Valid if rows are covered, environments number between 2 and the rows, and some treatment is in two of them."""
+    """Valid if rows are covered, environments number between 2 and the rows, and some treatment is in two of them.
+
+    Without a treatment, only columns that are given or named exactly like an environment are.
+    """
     full = F.lit(True)
     for x in c.cols:
         full &= F.col(f"`{x}`").isNotNull()
     r = df.agg(F.avg(full.cast("int")).alias("coverage"), F.count(F.when(full, 1)).alias("n_obs"), F.count_distinct(*(F.col(f"`{x}`") for x in c.cols)).alias("n_env")).first()
     ok = (r["coverage"] or 0) >= COVERAGE and 2 <= r["n_env"] < r["n_obs"]
     confidence = c.confidence
-    if treatment is not None and ok:
+    if treatment is None:
+        ok = ok and c.rank <= 1
+    elif ok:
         inc = incidence(df, list(c.cols), treatment)
         ok = (inc.groupBy("t").count().agg(F.max("count")).first()[0] or 0) >= 2
         if c.method == "site":

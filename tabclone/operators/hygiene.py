@@ -8,13 +8,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import AmbiguousMerge, DuplicateNames, NameRepaired, warn  # type: ignore[attr-defined]
-from ..functions.kinds import kinds
+from ..errors import AmbiguousMerge, BadTable, DuplicateNames, NameRepaired, warn  # type: ignore[attr-defined]
+from ..functions.kinds import LEVELS, as_factor, kinds
+from ..sources.scratch import cut
 
 SPACE = "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$"
 #: Reserved words that can't be names.
 RESERVED = ("if", "else", "repeat", "while", "function", "for", "next", "break", "TRUE", "FALSE", "NULL", "Inf", "NaN", "NA", "in")
 SHOWN = 20
+#: Merges that a report spells out; it counts the others.
+LISTED = 200
 
 
 def legal_names(names: list[str]) -> dict[str, str]:
@@ -46,6 +49,15 @@ def trimmed(col: str) -> Column:
     return F.regexp_replace(F.col(f"`{col}`"), SPACE, "")
 
 
+def trim_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df with trimmed texts; factors stay factors, with trimmed levels."""
+    factors = {c: m for c in cols if LEVELS in (m := df.schema[c].metadata)}
+    done = df.withColumns({c: trimmed(c) for c in cols})
+    for c, m in factors.items():
+        done = as_factor(done, c, list(dict.fromkeys(x.strip(" \t\r\n") for x in m[LEVELS])), bool(m.get("ordered")))
+    return done
+
+
 def label_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """col, label, n and first (its smallest row id, if df has one): one pass over all text columns."""
     rid = F.col("__rid") if "__rid" in df.columns else F.lit(None).cast("bigint")
@@ -95,7 +107,7 @@ class Cleaning:
 
     def replay(self, df: DataFrame) -> DataFrame:
         done = df.withColumnsRenamed({k: v for k, v in self.names.items() if k in df.columns})
-        return done.withColumns({c: trimmed(c) for c in self.trimmed if c in done.columns})
+        return trim_columns(done, [c for c in self.trimmed if c in done.columns])
 
 
 def clean(df: DataFrame, mode: str = "auto", quiet: bool = True) -> Cleaning:
@@ -110,7 +122,7 @@ def clean(df: DataFrame, mode: str = "auto", quiet: bool = True) -> Cleaning:
     cols = text_columns(done.data)
     if mode == "auto" and cols:
         done.trimmed = cols
-        done.data = done.data.withColumns({c: trimmed(c) for c in cols})
+        done.data = trim_columns(done.data, cols)
     if mode != "off" and cols and not quiet:
         near = near_duplicates(label_counts(done.data, cols))
         done.near_count = near.count()
@@ -154,16 +166,21 @@ def merge_decisions(counts: DataFrame, least_length: int = 4) -> DataFrame:
 
 
 def merge_closure(edges: DataFrame) -> DataFrame:
-    """col, from, to and ambiguous: every edge followed to its sink; a label with several sinks is ambiguous and stays."""
-    edges = edges.select("col", "from", "to").distinct()
+    """col, from, to and ambiguous: every edge followed to its sink; a label with several sinks is ambiguous and stays.
+
+    Each round is written, so that the plan doesn't grow; edges that go round in a circle are refused.
+    """
+    edges = cut(edges.select("col", "from", "to").distinct(), "merge-edges")
     paths, sinks = edges, None
-    for _ in range(64):
+    for left in range(edges.count(), -1, -1):
         open_ = paths.alias("p").join(edges.alias("e"), (F.col("p.col") == F.col("e.col")) & (F.col("p.to") == F.col("e.from")))
         ended = paths.alias("p").join(edges.alias("e"), (F.col("p.col") == F.col("e.col")) & (F.col("p.to") == F.col("e.from")), "left_anti")
         sinks = ended if sinks is None else sinks.unionByName(ended)
-        paths = open_.select(F.col("p.col").alias("col"), F.col("p.from").alias("from"), F.col("e.to").alias("to")).distinct()
+        paths = cut(open_.select(F.col("p.col").alias("col"), F.col("p.from").alias("from"), F.col("e.to").alias("to")).distinct(), "merge-paths")
         if paths.isEmpty():
             break
+        if not left:  # a path can't be longer than there are edges
+            raise BadTable("merges go round in a circle", [r[0] for r in paths.select("from").limit(5).collect()])
     ends = sinks.distinct().groupBy("col", "from").agg(F.sort_array(F.collect_set("to")).alias("ends"))
     return ends.select("col", "from", F.array_join("ends", " | ").alias("to"), (F.size("ends") > 1).alias("ambiguous"))
 
@@ -174,24 +191,31 @@ def apply_merges(df: DataFrame, col: str, merges: DataFrame) -> DataFrame:
     return joined.select(*((F.coalesce("__to", F.col(f"`{c}`")).alias(c) if c == col else F.col(f"`{c}`")) for c in df.columns))
 
 
+def merged(df: DataFrame, merges: DataFrame | None) -> DataFrame:
+    for c in sorted(r[0] for r in merges.select("col").distinct().collect()) if merges is not None else ():
+        if c in df.columns:
+            df = apply_merges(df, c, merges)
+    return df
+
+
 @dataclass
 class Conformance:
+    """A conformed table, and what it takes to conform another one alike; mask() takes it in place of a table."""
+
     data: DataFrame
     cleaning: Cleaning
     merges: DataFrame | None
     types: dict[str, str]
     applied: dict[str, bool]
     assumptions: list[str]
+    levels: dict[str, list[str]] = field(default_factory=dict)
 
     def replay(self, df: DataFrame) -> DataFrame:
-        done = self.cleaning.replay(df)
-        if self.merges is not None and self.applied["merges"]:
-            for c in [r[0] for r in self.merges.select("col").distinct().collect()]:
-                done = apply_merges(done, c, self.merges)
-        return typed(done, self.types) if self.applied["types"] else done
+        done = merged(self.cleaning.replay(df), self.merges if self.applied["merges"] else None)
+        return typed(done, self.types, self.levels) if self.applied["types"] else done
 
 
-def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+def typed(df: DataFrame, types: dict[str, str], levels: dict[str, list[str]] | None = None) -> DataFrame:
     def cast(c: str, t: str) -> Column:
         x = F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
         return x.cast("double") if t == "numeric" else F.to_date(x, "yyyy-MM-dd")
@@ -199,7 +223,7 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     done = df.withColumns({c: cast(c, t) for c, t in types.items() if t in ("numeric", "date") and c in df.columns})
     for c, t in types.items():
         if t == "factor" and c in df.columns:
-            done = done.withMetadata(c, {"levels": [], "ordered": False})
+            done = as_factor(done, c, (levels or {}).get(c, []))
     return done
 
 
@@ -208,19 +232,26 @@ def conform(df: DataFrame, merge_labels: str = "report", types: str = "report",
     cleaning = clean(df, clean_mode)
     cols = text_columns(cleaning.data)
     found = {r["col"]: r["type"] for r in infer_storage(cleaning.data, cols, max_levels).collect()} if cols else {}
-    said = [f"{c}: read as {t}" for c, t in found.items()]
+    said = [f"{c}: read as {t}" + ("" if types == "apply" else " (not applied)") for c, t in found.items()]
     merges, data = None, cleaning.data
     labels = [c for c, t in found.items() if t == "factor"]
     if labels and merge_labels != "off":
         decided = merge_decisions(label_counts(data, labels))
         merges = merge_closure(decided.where("to IS NOT NULL"))
-        for r in merges.orderBy("col", "from").limit(200).collect():
-            if r["ambiguous"]:
-                warn(AmbiguousMerge, f"{r['col']}: {r['from']!r} could merge with several labels: {r['to']}")
-            said.append(f"{r['col']}: {r['from']!r} is read as {r['to']!r}" + (" (ambiguous, not merged)" if r["ambiguous"] else ""))
+        merges = cut(merges, "merges")
+        tally = merges.agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("open")).first()
+        shown = merges.orderBy(F.desc("ambiguous"), "col", "from").limit(LISTED).collect()
+        done = "merged" if merge_labels == "apply" else "not applied"
+        said += [f"{r['col']}: {r['from']!r} is read as {r['to']!r}" + (" (ambiguous, not merged)" if r["ambiguous"] else f" ({done})") for r in shown]
+        if tally["n"] > len(shown):
+            said.append(f"and {tally['n'] - len(shown)} more merges, which the table of merges has")
+        if tally["open"]:
+            some = [f"{r['col']}: {r['from']!r} could be {r['to']}" for r in shown if r["ambiguous"]]
+            warn(AmbiguousMerge, f"{tally['open']} labels could merge with several others: {'; '.join(some)}")
         if merge_labels == "apply":
-            for c in labels:
-                data = apply_merges(data, c, merges)
+            data = merged(data, merges)
+    # at most max_levels for each factor
+    levels = {c: [r[0] for r in data.select(F.col(f"`{c}`").alias("v")).where("v IS NOT NULL AND v != ''").distinct().orderBy("v").collect()] for c in labels} if types == "apply" else {}
     if types == "apply":
-        data = typed(data, found)
-    return Conformance(data, cleaning, merges, found, {"merges": merge_labels == "apply", "types": types == "apply"}, said)
+        data = typed(data, found, levels)
+    return Conformance(data, cleaning, merges, found, {"merges": merge_labels == "apply", "types": types == "apply"}, said, levels)

@@ -1,7 +1,8 @@
 """Global positions without a single sorted partition.
 
 Rows are put in buckets that are in order (by hash prefix, or by value bounds from quantiles), numbered within their bucket, and
-moved up by the sizes of the buckets before.  Hashes have 256 buckets, values as many as there are shuffle partitions.
+moved up by the sizes of the buckets before.  Both have as many buckets as the shuffle partitions ask for, so that a bucket is
+never more than a task's work; the number changes no result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ def _offset(rows: DataFrame, by: list[str], bucket: str, weight: Column) -> Data
 def hash_index(rows: DataFrame, digest: Column, into: str, by: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
     """rows with into: the position from 1 (within by) in the order of a hex digest."""
     by = by or []
-    kept = rows.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 2))
+    # hex digits: 256 buckets, and at least four for each partition (65536 at most, whose sizes are broadcast)
+    digits = 2
+    while digits < 4 and 16**digits < 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        digits += 1
+    kept = rows.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, digits))
     within = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__digest", *(tie or [])))
     offsets = _offset(kept, by, "__bucket", F.count("*")).drop("__total")
     on = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in [*by, "__bucket"]]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadRecipeFile, IntegrityMismatch, MissingColumn, VersionNote, warn  # type: ignore[attr-defined]
+from ..functions.kinds import as_factor, nan_to_null
 from ..operators.alias import check, translate
 from .plan import Entry, Plan
 
@@ -35,7 +36,7 @@ class Recipe:
     names: dict[str, str] = field(default_factory=dict)  # column names of the plan -> of the clone
     clean_names: dict[str, str] = field(default_factory=dict)  # original names -> of the plan
     trimmed: list[str] = field(default_factory=list)
-    types: dict[str, str] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)  # what conforming read text columns as
     permuted: list[str] = field(default_factory=list)
     coords: list[dict] = field(default_factory=list)
     events: list[dict] = field(default_factory=list)
@@ -44,6 +45,10 @@ class Recipe:
     allow_kept_outcome: bool = False
     allow_high: bool = False
     integrity: str = ""
+    type_levels: dict[str, list[str]] = field(default_factory=dict)
+    merges: DataFrame | None = None  # labels that conforming merged
+    linked: list[str] = field(default_factory=list)
+    factors: dict[str, dict] = field(default_factory=dict)  # mapped factors: their levels before and after
     version: str = VERSION
 
     def __repr__(self) -> str:
@@ -59,10 +64,18 @@ class Recipe:
         return [e.col for e in self.plan.entries if e.action == "drop" and e.col not in self.maps]
 
     def _cleaned(self, df: DataFrame) -> DataFrame:
-        from ..operators.hygiene import trimmed
+        """What masking did before it masked: names, trimming, one kind of missing value, merged labels and types."""
+        from ..operators.hygiene import merged, trim_columns, typed
 
-        done = df.withColumnsRenamed({k: v for k, v in self.clean_names.items() if k in df.columns})
-        return done.withColumns({c: trimmed(c) for c in self.trimmed if c in done.columns})
+        done = nan_to_null(df.withColumnsRenamed({k: v for k, v in self.clean_names.items() if k in df.columns}))
+        done = trim_columns(done, [c for c in self.trimmed if c in done.columns])
+        return typed(merged(done, self.merges), self.types, self.type_levels)
+
+    def with_levels(self, df: DataFrame, side: str) -> DataFrame:
+        for c, own in self.factors.items():
+            if c in df.columns:
+                df = as_factor(df, c, own[side], own["ordered"])
+        return df
 
     def forward(self, original: DataFrame, check_integrity: bool = True, eager: bool = False) -> DataFrame:
         """The original in the clone's labels and names, so that a finished pipeline runs on it.  A stream is never checked."""
@@ -77,7 +90,7 @@ class Recipe:
             if eager and not original.isStreaming:
                 check(done, c, m)
             done = translate(done, c, m)
-        return done.withColumnsRenamed(self.names)
+        return self.with_levels(done, "clone").withColumnsRenamed(self.names)
 
     def inverse(self, df: DataFrame, eager: bool = False) -> DataFrame:
         """A table in the clone's labels and names (any of its columns) back in the original's."""
@@ -87,7 +100,7 @@ class Recipe:
                 if eager and not df.isStreaming:
                     check(done, c, m, "alias")
                 done = translate(done, c, m, "alias", "original")
-        return done.withColumnsRenamed({v: k for k, v in self.clean_names.items() if v in done.columns})
+        return self.with_levels(done, "original").withColumnsRenamed({v: k for k, v in self.clean_names.items() if v in done.columns})
 
     def reveal(self) -> dict:
         """The only way to see the maps and the seed."""
@@ -96,9 +109,11 @@ class Recipe:
     def save(self, path: str) -> None:
         """A folder: recipe.json beside a Parquet table for each map.  No code is stored."""
         spark = SparkSession.getActiveSession()
-        own = {k: v for k, v in self.__dict__.items() if k not in ("plan", "maps")}
+        own = {k: v for k, v in self.__dict__.items() if k not in ("plan", "maps", "merges")}
         own["plan"] = {"mode": self.plan.mode, "proposed": sorted(self.plan.proposed), "entries": [asdict(e) for e in self.plan.entries]}
-        own["maps"] = list(self.maps)
+        own["maps"], own["merges"] = list(self.maps), self.merges is not None
+        if self.merges is not None:
+            self.merges.write.parquet(f"{path}/merges")
         for i, m in enumerate(self.maps.values()):
             m.write.parquet(f"{path}/map-{i}")
         spark.createDataFrame([(json.dumps(own),)], "recipe string").coalesce(1).write.text(f"{path}/recipe")
@@ -109,10 +124,10 @@ class Recipe:
         try:
             own = json.loads(spark.read.text(f"{path}/recipe", wholetext=True).first()[0])
             plan = own.pop("plan")
-            maps = own.pop("maps")
+            maps, merges = own.pop("maps"), own.pop("merges", False)
         except Exception as e:
             raise BadRecipeFile(f"no recipe in {path}") from e
         if own["version"] != VERSION:
             warn(VersionNote, f"the recipe was written by version {own['version']}")
         entries = tuple(Entry(**e) for e in plan["entries"])
-        return Recipe(plan=Plan(entries, plan["mode"], frozenset(plan["proposed"])), maps={c: spark.read.parquet(f"{path}/map-{i}") for i, c in enumerate(maps)}, **own)
+        return Recipe(plan=Plan(entries, plan["mode"], frozenset(plan["proposed"])), maps={c: spark.read.parquet(f"{path}/map-{i}") for i, c in enumerate(maps)}, merges=spark.read.parquet(f"{path}/merges") if merges else None, **own)

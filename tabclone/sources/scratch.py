@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import BadSet  # type: ignore[attr-defined]
+
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode, as in tests, and a refusal on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise BadSet("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tabclone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -360,3 +360,99 @@ def test_fingerprint_ignores_row_order(spark, trial):
 
 def test_name_patterns():
     assert patterns.matches("Plot", patterns.DESIGN) and patterns.matches("contact_email", patterns.PII) and not patterns.matches("yields", patterns.OUTCOME)
+
+
+def test_keys_have_to_be_unique(spark):
+    df = spark.createDataFrame([(f"k{i % 10}", "x", float(i)) for i in range(30)], "id string, part string, yield double")
+    plan = propose(df, "local", detect=False).set(["id", "part"], "id", "keep")
+    with pytest.raises(errors.BadTable):
+        mask(df, plan, seed=1, key=["id"])
+    odd = spark.createDataFrame([("a|b", "c", 1.0), ("a", "b|c", 2.0), ("a", None, 3.0), (None, "a", 4.0), ("a\\", "b", 5.0), ("a", "\\b", 6.0)], "id string, part string, yield double")
+    assert mask(odd, plan, seed=1, key=["id", "part"]).data.count() == 6
+    assert mask(df, plan, seed=1).data.count() == 30
+
+
+def test_forward_of_a_source_with_nan(spark):
+    df = spark.createDataFrame([(i, float("nan") if i % 4 == 0 else float(i), ["a", "b"][i % 2]) for i in range(20)], "id int, yield double, variety string")
+    plan = propose(df, "local", detect=False).set("variety", "treatment", "alias").set("id", "id", "keep")
+    done = mask(df, plan, seed=1, key=["id"])
+    assert done.recipe.forward(df).where("yield IS NULL").count() == 5
+    with pytest.raises(errors.IntegrityMismatch):
+        done.recipe.forward(df.where("id > 0"))
+
+
+def test_whole_valued_doubles_stay_whole(spark):
+    rows = [(i, f"s{i % 60}", "ab"[i % 2], float(10 * (i % 2) + i % 30 + i * 7 % 5), 0.5 + i * 7 % 5) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, block string, arm string, count double, yield double")
+    plan = propose(df, "local", detect=False).set("id", "id", "keep").set("arm", "treatment", "keep").set("block", "design", "keep").set(["count", "yield"], "outcome", "scramble")
+    with pytest.warns(errors.ConditionalDegraded):
+        done = mask(df, plan, seed=1, key=["id"], use_conditional=True, use_grain=False).data
+    assert done.where("count != floor(count)").count() == 0 and done.where("yield != floor(yield)").count() > 0
+
+
+def test_environments_without_a_treatment(spark):
+    rows = [(f"s{i % 3}", f"e{i % 4}", float(i)) for i in range(48)]
+    named = environment.detect_scope(spark.createDataFrame(rows, "site string, environment string, height double"))
+    assert named.env == ("environment",)
+    assert environment.detect_scope(spark.createDataFrame([(s, y) for s, _, y in rows], "site string, height double")).status == "single"
+
+
+def test_merge_closure_of_long_chains_and_circles(spark):
+    chain = [("c", f"v{i:03d}", f"v{i + 1:03d}") for i in range(9)]
+    got = {r["from"]: (r["to"], r["ambiguous"]) for r in hygiene.merge_closure(spark.createDataFrame(chain + [("c", "v003", "z")], "col string, `from` string, `to` string")).collect()}
+    assert got["v008"] == ("v009", False) and got["v000"] == ("v009 | z", True) and len(got) == 9
+    with pytest.raises(errors.BadTable):
+        hygiene.merge_closure(spark.createDataFrame([("c", "a", "b"), ("c", "b", "a")], "col string, `from` string, `to` string"))
+
+
+def test_conform_is_replayed_by_the_recipe(spark, tmp_path):
+    rows = [(i, " Hamlet" if i % 7 == 0 else "hamlet" if i % 9 == 1 else ["Hamlet", "Sultan"][i % 2], str(i / 4), f"2024-01-{1 + i % 9:02d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, variety string, height string, day string")
+    conformed = hygiene.conform(df, merge_labels="apply", types="apply")
+    assert conformed.levels["variety"] == ["Hamlet", "Sultan"] and dict(conformed.data.dtypes)["height"] == "double"
+    plan = propose(conformed.data, "local", detect=False).set("variety", "treatment", "alias").set("id", "id", "keep")
+    done = mask(conformed, plan, seed=1, key=["id"])
+    assert dict(done.data.dtypes)["day"] == "date" and done.data.schema["variety"].metadata["levels"] == ["trt_001", "trt_002"]
+    done.recipe.save(f"file://{tmp_path}/recipe")
+    for recipe in (done.recipe, type(done.recipe).load(f"file://{tmp_path}/recipe")):
+        forward = recipe.forward(df)
+        assert forward.select("variety").distinct().count() == 2 and dict(forward.dtypes)["height"] == "double"
+        back = recipe.inverse(forward)
+        assert {r[0] for r in back.select("variety").distinct().collect()} == {"Hamlet", "Sultan"} and back.schema["variety"].metadata["levels"] == ["Hamlet", "Sultan"]
+
+
+def test_factor_levels_of_a_clone(spark):
+    df = as_factor(spark.createDataFrame([(i, "lmh"[i % 2]) for i in range(20)], "id int, dose string"), "dose", ["l", "m", "h"], True)
+    plan = propose(df, "local", detect=False).set("id", "id", "keep")
+    aliased = mask(df, plan.set("dose", "treatment", "alias"), seed=1, key=["id"])
+    assert aliased.data.schema["dose"].metadata == {"levels": ["trt_001", "trt_002", "trt_003"], "ordered": True} and aliased.recipe.maps["dose"].count() == 3
+    moved = mask(df, plan.set("dose", "treatment", "scramble"), seed=1, key=["id"])
+    assert moved.data.schema["dose"].metadata["levels"] == ["l", "m", "h"]
+
+
+def test_links_keep_their_names_and_count_as_aliased(spark):
+    tables = {"a": spark.createDataFrame([(f"f{i}", float(i)) for i in range(12)], "farm string, yield double"), "b": spark.createDataFrame([(float(i), f"f{i}") for i in range(12)], "rain double, farm string")}
+    plans = {n: propose(t, "local", detect=False).set("farm", "design", "keep") for n, t in tables.items()}
+    plans["b"] = plans["b"].set("farm", "id", "alias")
+    done = maskset.mask_set(tables, plans, seed=1, alias_names=True)
+    a, b = done.clones["a"], done.clones["b"]
+    assert a.data.columns == ["farm", "col_002"] and b.data.columns == ["col_001", "farm"] and a.data.join(b.data, "farm").count() == 12
+    assert {r["col"]: r["action"] for r in a.public_roles()}["farm"] == "alias"
+
+
+def test_audit_on_request(spark, capsys):
+    from tabclone.mask import audit_mask
+
+    df = spark.createDataFrame([(i, f"p{i}", ["a", "b", "c"][i % 3], float(i * 7 % 40), "xyz"[i % 3]) for i in range(40)], "id int, plot string, variety string, yield double, note string")
+    plan = propose(df, "local", detect=False).set("id", "id", "keep").set("plot", "id", "alias").set("variety", "treatment", "alias").set("note", "covariate", "scramble")
+    done = mask(df, plan, seed=1, key=["id"])
+    same = mask(df, plan, seed=1, key=["id"], do_audit=True, alias_names=True)
+    stored = audit_mask(same, show=False)
+    with pytest.raises(errors.AuditMissing):
+        audit_mask(done)
+    with pytest.raises(errors.BadOriginal):
+        audit_mask(done, df, key=["note"])
+    # another key draws another baseline for the joint checks
+    assert audit_mask(done, df, key=["plot"])[0] == stored[0] and "audit (mode local)" in capsys.readouterr().out
+    again = mask(df, plan, seed=1, key=["id"], alias_names=True)
+    assert audit_mask(again, df, key=["id"], show=False) == stored

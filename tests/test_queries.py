@@ -46,5 +46,5 @@ def test_query(spark, sf, duck, name):
 def test_entry_without_corpus_operators(monkeypatch):
     import __spark_entry__ as entry
 
-    monkeypatch.setattr(entry, "HAS_LLM", False)
+    monkeypatch.setattr(entry, "llm", None)
     assert set(entry.queries()) == set(queries.QUERIES) and set(entry.oracle_sql()) == set(queries.SQL)
