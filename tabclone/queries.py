@@ -536,7 +536,7 @@ def reanchor_sites(spark, sf_dir):
     return done.groupBy("state").agg(F.count("*").alias("n"), F.sum(F.col("lat").isNull().cast("int")).alias("missing"), F.bool_and(F.coalesce(near, F.lit(True))).alias("near"))
 
 
-@query("SELECT * FROM (VALUES ('lat'), ('lon')) t(col)")
+@query(f"SELECT col FROM (SELECT col, count(DISTINCT v) AS d, max(abs(v)) AS m, bool_and(v = round(v)) AS whole, bool_or(abs(v * 1000 - round(v * 1000)) > 1e-6) AS fine FROM (SELECT 'lat' AS col, lat AS v FROM {PLACED} UNION ALL SELECT 'lon', lon FROM {PLACED}) WHERE v IS NOT NULL GROUP BY col) WHERE d >= 3 AND m > 1 AND m <= 180 AND fine AND NOT whole")
 def coord_shape_detect(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in coordinate_shaped(placed(spark, sf_dir))], "col string")
 
@@ -619,12 +619,12 @@ def constant_and_crossed(spark, sf_dir):
     return a.crossJoin(F.broadcast(b))
 
 
-BRANDS = "(SELECT CAST(s_nationkey AS VARCHAR) AS b, p_brand AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_partkey % 40 = s_nationkey % 4)"
+BRANDS = "(SELECT CAST(s_nationkey AS VARCHAR) AS b, p_brand AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
 
 
 def brands(spark, sf_dir):
     l, s, p = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
-    rows = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).where("p_partkey % 40 = s_nationkey % 4")
+    rows = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("s_nationkey").cast("string").alias("site"), F.col("p_brand").alias("brand"))
 
 
@@ -648,11 +648,72 @@ def grouping_diagnostics(spark, sf_dir):
     return got.withColumn("confined_fraction", F.round("confined_fraction", 6))
 
 
-@query(f"SELECT site AS env, count(*) AS n_rows, count(DISTINCT genotype) AS n_treatments, 3 AS min_reps, 3 AS max_reps, count(DISTINCT rep) AS n_blocks, 'RCBD' AS design FROM {TRIAL} GROUP BY site")
+def _per_env_sql(rows: str) -> str:
+    """From rows of e (environment), t (treatment) and b (block)."""
+    return f"""
+WITH cell AS (SELECT e, t, b, count(*) AS n FROM {rows} GROUP BY ALL), reps AS (SELECT e, count(*) AS n_treatments, min(r) AS min_reps, max(r) AS max_reps, sum(r) AS n_rows FROM (SELECT e, t, sum(n) AS r FROM cell GROUP BY ALL) GROUP BY e),
+blocks AS (SELECT e, count(DISTINCT b) AS n_blocks, count(*) AS cells, min(n) AS lo, max(n) AS hi FROM cell WHERE b IS NOT NULL GROUP BY e)
+SELECT e AS env, CAST(n_rows AS BIGINT) AS n_rows, n_treatments, CAST(min_reps AS BIGINT) AS min_reps, CAST(max_reps AS BIGINT) AS max_reps, n_blocks,
+ CASE WHEN n_treatments < 2 THEN 'none' WHEN n_blocks >= 2 AND cells = n_blocks * n_treatments AND lo = hi THEN 'RCBD' WHEN min_reps >= 2 THEN 'CRD' ELSE 'unreplicated' END AS design FROM reps JOIN blocks USING (e)"""
+
+
+@query(_per_env_sql(f"(SELECT site AS e, genotype AS t, rep AS b FROM {TRIAL})"))
 def per_env_design(spark, sf_dir):
     return environment.per_environment(plots(spark, sf_dir), ["site"], "genotype", "rep")
 
 
+@query(_per_env_sql("(SELECT CAST(c_nationkey AS VARCHAR) AS e, o_orderpriority AS t, o_orderstatus AS b FROM orders JOIN customer ON o_custkey = c_custkey)"))
+def per_env_orders(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderpriority", "o_orderstatus")
+    return environment.per_environment(rows, ["c_nationkey"], "o_orderpriority", "o_orderstatus")
+
+
+# --- keys, missing values and links of whole clones
+
+MISSING = "(SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders)"
+
+
+@query(f"SELECT o_orderkey, m.alias AS o_orderpriority, price FROM {MISSING} o JOIN {alias_sql('orders', 'o_orderpriority', 'trt_', 'o_orderpriority')} m ON o.o_orderpriority = m.original")
+def recipe_forward_nan(spark, sf_dir):
+    """A source with NaN passes its own recipe; NaN is null on the way."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.expr("CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') ELSE cast(o_totalprice AS double) END").alias("price"))
+    plan = propose(o, "local", detect=False).set(["o_orderkey", "price"], "id", "keep").set("o_orderpriority", "treatment", "alias")
+    return mask(o, plan, seed=SEED, key=["o_orderkey"]).recipe.forward(o)
+
+
+@query("SELECT DISTINCT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || CAST(l_quantity AS INT) || '/' || strftime(l_shipdate, '%Y-%m-%d') AS key FROM lineitem")
+def composite_keys(spark, sf_dir):
+    """Row ids of several key columns: as many as there are keys, each read back from its id."""
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty", "day"]
+    rows = table(spark, sf_dir, "lineitem").select(*cols[:4], F.col("l_quantity").cast("int").alias("qty"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return with_rid(rows, cols).select(F.array_join(F.from_json("__rid", "array<string>"), "/").alias("key")).distinct()
+
+
+@query(f"SELECT m.alias AS doc_id, d.n_chars AS col_003, l.quality AS col_002 FROM documents d JOIN labels l USING (doc_id) JOIN {LINK} m ON doc_id = original")
+def linked_join_aliased_names(spark, sf_dir):
+    """Links keep their names while all other columns lose theirs."""
+    tables = linked(spark, sf_dir)
+    plans = {n: propose(t, "local", detect=False).set([c for c in t.columns if c != "doc_id"], action="keep").set("doc_id", "id", "alias") for n, t in tables.items()}
+    done = maskset.mask_set(tables, plans, seed=SEED, keys={"documents": ["doc_id"], "labels": ["doc_id"]}, alias_names=True)
+    return done.clones["documents"].data.select("doc_id", "col_003").join(done.clones["labels"].data.select("doc_id", "col_002"), "doc_id")
+
+
+CONFORMED = f"WITH {CLOSURE}, read AS (SELECT d.rid, coalesce(CASE WHEN len(e.ends) = 1 THEN e.ends[1] END, d.label) AS label FROM {DIRTY} d LEFT JOIN ends e ON d.label = e.f)"
+
+
+@query(CONFORMED + f" SELECT r.rid, m.alias AS label, CAST(r.rid AS DOUBLE) / 4 AS size FROM read r JOIN {alias_sql('read', 'label', 'trt_', 'label')} m ON r.label = m.original")
+def conform_replay(spark, sf_dir):
+    """Merged labels and types that the recipe of a conformed table replays on the table as it came."""
+    rows = dirty(spark, sf_dir).select(F.col("__rid").alias("rid"), "label", (F.col("__rid") / 4).cast("string").alias("size"))
+    merges = merge_closure(spark, sf_dir)
+    cleaning = hygiene.clean(rows)
+    data = hygiene.typed(hygiene.merged(cleaning.data, merges), {"size": "numeric"})
+    conformed = hygiene.Conformance(data, cleaning, merges, {"size": "numeric"}, {"merges": True, "types": True}, [])
+    plan = propose(data, "local", detect=False).set(["rid", "size"], "id", "keep").set("label", "treatment", "alias")
+    return mask(conformed, plan, seed=SEED, key=["rid"]).recipe.forward(rows)
+
+
 @query("SELECT 'multi' AS status, 'site' AS env, 'connected' AS connectivity, 6 AS environments")
 def env_scope(spark, sf_dir):
     s = environment.detect_scope(plots(spark, sf_dir))
