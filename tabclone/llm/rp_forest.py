@@ -9,7 +9,9 @@ any structure in most of theirs.  Leaves are as fine as the sample allows while
 
 Queries meet the rows of their leaves in one shuffle.  A leaf of many rows is dealt out in parts of about PART_VALUES numbers by
 the hash of the vector, and its queries go to each part; a task holds the rows of one part, and queries pass by in batches.
-Exact distances in double precision leave each query's nearest of the part; the nearest of all parts follow.
+Exact distances in double precision leave each query's nearest of the part; the nearest of all parts follow.  A query brings a
+bound along, the distance within which its leaves hold enough sampled vectors; what lies farther can't be among its nearest found
+and stays behind, so that a query's results don't grow with the leaves it opens.
 
 Equal vectors are one row to the index, with the smallest ids that a result can need; so a vector that a third of all rows
 share fills no leaf, and no answer is lost.
@@ -39,7 +41,7 @@ SAMPLE_VALUES, TREES, LEAF = 1 << 22, 12, 96
 CALIBRATION, TARGET, VISITS = 64, 0.96, 600
 #: The most leaves of a tree, tried in turn, and numbers in a part of a leaf.
 LEAVES, PART_VALUES = (512, 128), 1 << 20
-_ROWS = "leaf bigint, part int, kind int, query bigint, ids array<bigint>, v array<double>"
+_ROWS = "leaf bigint, part int, kind int, query bigint, bound double, ids array<bigint>, v array<double>"
 
 
 @dataclass
@@ -170,25 +172,31 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
             break
     # rows of a leaf in proportion to its sampled ones
     parts = np.ceil(np.array(fitted.sizes) * (total * d / max(1, len(sample)) / PART_VALUES)).astype(np.int64).clip(1)
-    forest = spark.sparkContext.broadcast((fitted, parts))
+    # the sampled vectors of each leaf; as large as the sample, whatever the table
+    at = fitted.leaves(sample)
+    order = np.argsort(at, axis=None, kind="stable")
+    members = (order // trees).astype(np.int32), np.searchsorted(at.ravel()[order], np.arange(len(fitted.sizes) + 1))
+    forest = spark.sparkContext.broadcast((fitted, parts, sample, members))
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = forest.value
+        own, parts, *_ = forest.value
         for rb in batches:
             v = rb.column("v").flatten().to_numpy().reshape(-1, d)
             at = np.repeat(np.arange(rb.num_rows), trees)
             leaves = own.leaves(v).ravel()
-            yield _batch(leaves, (rb.column("a").to_numpy()[at] >> 8) % parts[leaves], 0, pa.nulls(len(at), pa.int64()), rb.column("ids").take(pa.array(at)), rb.column("v").take(pa.array(at)))
+            yield _batch(leaves, (rb.column("a").to_numpy()[at] >> 8) % parts[leaves], 0, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), rb.column("ids").take(pa.array(at)), rb.column("v").take(pa.array(at)))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = forest.value
+        own, parts, sample, (inside, ends) = forest.value
         for rb in batches:
             for i, q in enumerate(rb.column("v").flatten().to_numpy().reshape(-1, d)):
                 found = np.array(own.search(q, want), np.int64)
+                near = sample[np.unique(np.concatenate([inside[ends[x] : ends[x + 1]] for x in found]))]
+                bound = np.partition(np.sqrt(((near - q) ** 2).sum(1)), k)[k] if len(near) > k else np.inf
                 leaves = np.repeat(found, parts[found])
                 part = np.arange(len(leaves)) - np.repeat(np.cumsum(parts[found]) - parts[found], parts[found])
                 at = pa.array(np.full(len(leaves), i))
-                yield _batch(leaves, part, 1, rb.column("vec_id").take(at), pa.nulls(len(at), pa.list_(pa.int64())), rb.column("v").take(at))
+                yield _batch(leaves, part, 1, rb.column("vec_id").take(at), pa.array(np.full(len(at), bound * (1 + 1e-12))), pa.nulls(len(at), pa.list_(pa.int64())), rb.column("v").take(at))
 
     both = distinct.select("a", "ids", "v").mapInArrow(index, _ROWS).unionByName(asked.mapInArrow(ask, _ROWS))
     dealt = both.repartition(base.shuffles(spark), "leaf", "part").sortWithinPartitions("leaf", "part", "kind")
@@ -227,8 +235,8 @@ def _truth(distinct: DataFrame, q: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.array(x, np.float64).reshape(-1, d) for x in found]
 
 
-def _batch(leaves: np.ndarray, part: np.ndarray, kind: int, query: pa.Array, ids: pa.Array, v: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"leaf": leaves, "part": pa.array(part.astype(np.int32)), "kind": pa.array(np.full(len(leaves), kind, np.int32)), "query": query, "ids": ids, "v": v})
+def _batch(leaves: np.ndarray, part: np.ndarray, kind: int, query: pa.Array, bound: pa.Array, ids: pa.Array, v: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"leaf": leaves, "part": pa.array(part.astype(np.int32)), "kind": pa.array(np.full(len(leaves), kind, np.int32)), "query": query, "bound": bound, "ids": ids, "v": v})
 
 
 def _rank(batches: Iterable[pa.RecordBatch], d: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -252,10 +260,10 @@ def _rank(batches: Iterable[pa.RecordBatch], d: int, k: int) -> Iterator[pa.Reco
             if ready is None:
                 c = np.concatenate([x for x, _ in held])
                 ready = c, (c * c).sum(1), [y for _, x in held for y in x]
-            yield _nearest_of(run.column("query").to_numpy(), v, *ready, k)
+            yield _nearest_of(run.column("query").to_numpy(), run.column("bound").to_numpy(), v, *ready, k)
 
 
-def _nearest_of(names: np.ndarray, q: np.ndarray, c: np.ndarray, cc: np.ndarray, ids: list[list[int]], k: int) -> pa.RecordBatch:
+def _nearest_of(names: np.ndarray, bounds: np.ndarray, q: np.ndarray, c: np.ndarray, cc: np.ndarray, ids: list[list[int]], k: int) -> pa.RecordBatch:
     out: tuple[list, list, list] = ([], [], [])
     step = max(1, (1 << 22) // len(c))
     for i in range(0, len(q), step):
@@ -265,12 +273,12 @@ def _nearest_of(names: np.ndarray, q: np.ndarray, c: np.ndarray, cc: np.ndarray,
         about = qq[:, None] + cc[None] - 2 * (some @ c.T)
         # the query's own class holds its own id: one class more than asked for is always enough
         edge = np.partition(about, k, axis=1)[:, k] if len(c) > k + 1 else np.full(len(some), np.inf)
-        near = about <= (edge + 1e-11 * (qq + cc.max()))[:, None]
+        near = about <= (np.minimum(edge, bounds[i : i + step] ** 2) + 1e-11 * (qq + cc.max()))[:, None]
         for j in range(len(some)):
             row = np.flatnonzero(near[j])
             far = np.sqrt(((some[j] - c[row]) ** 2).sum(1)).tolist()
             mine = names[i + j]
-            best = sorted((f, y) for f, x in zip(far, row.tolist(), strict=True) for y in ids[x] if y != mine)[:k]
+            best = sorted((f, y) for f, x in zip(far, row.tolist(), strict=True) for y in ids[x] if y != mine and f <= bounds[i + j])[:k]
             out[0].extend([mine] * len(best))
             out[1].extend(y for _, y in best)
             out[2].extend(f for f, _ in best)
