@@ -8,9 +8,6 @@ import pytest
 
 from tabclone import queries
 
-SLOW = {"audit_joint", "audit_classes", "release_status", "env_scope", "event_patterns", "events_resynth_invariants"}
-NAMES = [n for n in queries.SQL if os.environ.get("ALL_QUERIES") or n not in SLOW]
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -35,7 +32,7 @@ def rows(names, found):
     return sorted([plain(r[i]) for i in order] for r in found)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query(spark, sf, duck, name):
     got = queries.QUERIES[name](spark, sf)
     want = duck.sql(queries.SQL[name])
