@@ -110,3 +110,24 @@ def nesting(df: DataFrame, outer: str, inner: str) -> DataFrame:
 
 def frequencies(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.col(f"`{col}`").cast("string").alias("level")).agg(F.count("*").alias("n"))
+
+
+def environments(df: DataFrame, env: list[str], treatment: str) -> DataFrame:
+    """Plot data of the overview of environments: rows and treatments of each."""
+    name = F.concat_ws(":", *(F.col(f"`{e}`").cast("string") for e in env))
+    return df.dropna(subset=env).groupBy(name.alias("env")).agg(F.count("*").alias("n"), F.count_distinct(F.col(f"`{treatment}`")).alias("n_treatments"))
+
+
+def spatial_tile(df: DataFrame, row: str, col: str, treatment: str) -> DataFrame:
+    """Plot data of a field: rows, the (first) treatment and the number of treatments at every occupied position."""
+    t = F.col(f"`{treatment}`")
+    return df.dropna(subset=[row, col]).groupBy(F.col(f"`{row}`").alias("y"), F.col(f"`{col}`").alias("x")).agg(F.count("*").alias("n"), F.min(t.cast("string")).alias("treatment"), F.count_distinct(t).alias("n_treatments"))
+
+
+def factorial_tile(df: DataFrame, a: str, b: str, outcome: str | None = None) -> DataFrame:
+    """Plot data of two crossed treatments: rows and the outcome's mean for every pair, empty ones too."""
+    x, y = F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")
+    mean = F.avg(F.col(f"`{outcome}`")) if outcome else F.lit(None).cast("double")
+    found = df.dropna(subset=[a, b]).groupBy(x, y).agg(F.count("*").alias("n"), mean.alias("mean"))
+    grid = found.select("a").distinct().join(found.select("b").distinct())
+    return grid.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), "mean")

@@ -825,3 +825,7 @@ def plot_nesting(spark, sf_dir):
 @query("SELECT o_orderpriority AS level, count(*) AS n FROM orders GROUP BY 1")
 def plot_frequencies(spark, sf_dir):
     return card.frequencies(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+# registers its own queries here
+from . import rule_queries  # noqa: E402, F401
