@@ -12,7 +12,7 @@ from .mask import mask
 from .operators import audit, conditional, design, environment, events, incidence
 from .plans.plan import propose
 from .plans.recipe import Recipe
-from .queries import BRANDS, LINEITEM, PAIRS, SEED, TIMED, brands, lineitem, pairs, query, table, timed
+from .queries import PAIRS, SEED, TIMED, pairs, query, table, timed
 from .sources.scratch import folder
 from .sources.tables import read_set, read_table, write_table
 
@@ -112,12 +112,12 @@ def design_candidates(spark, sf_dir):
     return spark.createDataFrame([(x, v, x in first.factors, x in left.factors) for x, v in first.levels.items()], "col string, levels long, factor boolean, kept boolean")
 
 
-@query(f"""
-WITH e AS (SELECT DISTINCT b, t FROM {BRANDS}), s AS (SELECT 'b' AS side, count(*) AS size FROM e GROUP BY b UNION ALL SELECT 't', count(*) FROM e GROUP BY t), m AS (SELECT side, size, count(*) AS m FROM s GROUP BY ALL)
+@query("""
+WITH e AS (SELECT DISTINCT o_custkey AS b, o_orderpriority AS t FROM orders), s AS (SELECT 'b' AS side, count(*) AS size FROM e GROUP BY b UNION ALL SELECT 't', count(*) FROM e GROUP BY t), m AS (SELECT side, size, count(*) AS m FROM s GROUP BY ALL)
 SELECT side, size AS mode, round(m / total, 6) AS share FROM (SELECT *, sum(m) OVER (PARTITION BY side) AS total, row_number() OVER (PARTITION BY side ORDER BY m DESC, size) AS k FROM m) WHERE k = 1
 """)
 def modal_partners(spark, sf_dir):
-    inc = incidence.incidence(brands(spark, sf_dir), "site", "brand")
+    inc = incidence.incidence(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
     parts = [incidence.modal(inc, s).select(F.lit(s).alias("side"), "mode", F.round("share", 6).alias("share")) for s in ("b", "t")]
     return parts[0].unionByName(parts[1])
 
@@ -226,13 +226,14 @@ def audit_whole_row(spark, sf_dir):
     return rounded(audit.joint(day_pairs(spark, sf_dir), ["o_orderstatus", "o_orderdate"], ["o_orderpriority"], draws=DRAWS))
 
 
-HOLED = f"(SELECT CASE WHEN l_quantity < 40 THEN l_quantity END AS a, CASE WHEN l_extendedprice < 60000 THEN l_extendedprice END AS b, l_tax AS c, CASE WHEN l_discount < 0.09 THEN l_discount END AS d FROM {LINEITEM})"
+#: Columns with rare missing values, by remainders of keys.
+HOLES = {"a": "l_orderkey % 41", "b": "l_orderkey % 43", "c": "l_partkey % 37", "d": "l_partkey % 31", "e": "l_suppkey % 7"}
 
 
-@query(f"SELECT round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / sum(n), 9) AS na_pattern_uniqueness FROM (SELECT count(*) AS n FROM {HOLED} GROUP BY a IS NULL, b IS NULL, c IS NULL, d IS NULL)")
+@query(f"SELECT round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / sum(n), 9) AS na_pattern_uniqueness FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(f'{x} = 0' for x in HOLES.values())})")
 def audit_na_uniqueness(spark, sf_dir):
-    rows = lineitem(spark, sf_dir).selectExpr("CASE WHEN l_quantity < 40 THEN l_quantity END AS a", "CASE WHEN l_extendedprice < 60000 THEN l_extendedprice END AS b", "l_tax AS c", "CASE WHEN l_discount < 0.09 THEN l_discount END AS d")
-    return audit.na_uniqueness(rows, ["a", "b", "c", "d"]).select(F.round("na_pattern_uniqueness", 9).alias("na_pattern_uniqueness"))
+    rows = table(spark, sf_dir, "lineitem").select(*(F.expr(f"CASE WHEN {x} <> 0 THEN l_tax END").alias(c) for c, x in HOLES.items()))
+    return audit.na_uniqueness(rows, list(HOLES)).select(F.round("na_pattern_uniqueness", 9).alias("na_pattern_uniqueness"))
 
 
 # --- events
