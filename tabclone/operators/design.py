@@ -50,10 +50,18 @@ class Design:
     treatment: list[str] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)
     candidates: Candidates | None = None
+    withheld: dict[str, str] = field(default_factory=dict)  # treatments that aren't applied to a plan, and why
+    tie: float = TIE
 
     @property
     def recommended(self) -> list[tuple[str, str]]:
-        return [(c, "treatment") for c in self.treatment] + [(c, "design") for c in self.blocks]
+        return [(c, "treatment") for c in self.treatment if c not in self.withheld] + [(c, "design") for c in self.blocks]
+
+    @property
+    def close(self) -> list[str]:
+        """The two best designs, where they are so near that a user may want to choose."""
+        best = sorted((k for k, s in self.scores.items() if s > 0), key=lambda k: (-self.scores[k], ORDER.index(k)))[:2]
+        return best if len(best) == 2 and self.label != "none" and self.scores[best[0]] - self.scores[best[1]] <= self.tie else []
 
 
 def candidates(df: DataFrame, plan: Plan | None = None) -> Candidates:
@@ -208,6 +216,36 @@ def pick(scores: dict[str, float], threshold: float = THRESHOLD, tie: float = TI
     return "none" if best < threshold else next(x for x in ORDER if scores.get(x, 0.0) >= best - tie)
 
 
+def crossed(df: DataFrame, unit: str, col: str) -> bool:
+    """More pairs than units and than values: both occur in several of the other."""
+    r = cells(incidence(df, unit, col)).first()
+    return r["filled"] > r["n_b"] and r["filled"] > r["n_t"]
+
+
+def withheld(df: DataFrame, plan: Plan | None, found: Candidates, treatments: list[str]) -> dict[str, str]:
+    """Why treatments that only the rules found are not applied: no such name, and no sign of being crossed with a design column."""
+    own, out = kinds(df), {}
+    roles = {e.col: e.role for e in plan.entries} if plan else {}
+    gone = set(plan.cols(action="drop")) if plan else set()
+    design = [c for c in df.columns if c not in gone and (roles.get(c) == "design" or (matches(c, DESIGN) and roles.get(c, "design") == "design"))]
+    units = [u for u in design if 2 <= found.levels.get(u, 0) <= found.n / 2]
+    for c in treatments:
+        if matches(c, TREATMENT) or c in found.own_treatments:
+            continue
+        others = [u for u in units if u != c]
+        if matches(c, DESIGN):
+            out[c] = "named like a design column"
+        elif own[c] in NUMERIC and not df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`")).count().where("count < 2").isEmpty():
+            out[c] = "numbers with values that occur once are a measurement"
+        elif not others:
+            out[c] = "no design column crosses it"
+        elif fixed := next((r["unit"] for r in constant_within(df, {u: [u] for u in others}, [c]).collect() if r[c]), None):
+            out[c] = f"one value for each {fixed}"
+        elif not any(crossed(df, u, c) for u in others):
+            out[c] = "not crossed with any design column"
+    return out
+
+
 def detect_design(df: DataFrame, plan: Plan | None = None, threshold: float = THRESHOLD, tie: float = TIE) -> Design:
     found, gone = revised(df, plan, candidates(df, plan))
     told = {k: rule(df, found) for k, rule in RULES.items()}
@@ -215,4 +253,5 @@ def detect_design(df: DataFrame, plan: Plan | None = None, threshold: float = TH
     label = pick(scores, threshold, tie)
     evidence = {k: e for k, (_, e) in told.items()} | {"excluded": gone}
     own = evidence.get(label, {})
-    return Design(label, scores, evidence, own.get("treatment", []), own.get("blocks", []), found)
+    treatment = own.get("treatment", [])
+    return Design(label, scores, evidence, treatment, own.get("blocks", []), found, withheld(df, plan, found, treatment), tie)

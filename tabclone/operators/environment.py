@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidEnvironment  # type: ignore[attr-defined]
-from ..functions.patterns import ENV_EXACT, ENV_PRECOMPOSED, ENV_RESERVED, ENV_SITE, ENV_YEAR, GROUPING, matches
+from ..functions.kinds import kinds
+from ..functions.patterns import CATEGORICAL, ENV_EXACT, ENV_PRECOMPOSED, ENV_RESERVED, ENV_SITE, ENV_YEAR, GROUPING, matches
 from .design import Design, detect_design
 from .incidence import components, incidence
 
@@ -129,6 +130,25 @@ def per_environment(df: DataFrame, env: list[str], treatment: str, block: str |
     return both.select("env", "n_rows", "n_treatments", "min_reps", "max_reps", "n_blocks", label.alias("design"))
 
 
+def recommend(df: DataFrame, scope: Scope, mode: str) -> list[dict]:
+    """What the scope asks of a plan: col, role, action and reason.  Labels of a sure environment are aliased in a shared clone;
+    a doubtful one, and all that compete, stay as they are."""
+    if scope.status in ("disabled", "single"):
+        return []
+    own, sure = kinds(df), scope.status == "multi"
+    cols = scope.env if scope.status != "ambiguous" else tuple(dict.fromkeys(c for x in scope.candidates if x.valid for c in x.cols))
+    reason = "the environment" if sure else "perhaps the environment: kept until env is given" if scope.env else "one of several possible environments: kept until env is given"
+    return [{"col": c, "role": "design", "action": "alias" if sure and mode == "collaborate" and own[c] in CATEGORICAL else "keep", "reason": reason} for c in cols]
+
+
+def overlay(plan: Plan, df: DataFrame, scope: Scope) -> Plan:
+    """The plan with what the scope recommends, but for personal data and for actions that were given."""
+    for r in recommend(df, scope, plan.mode):
+        if r["col"] in plan.proposed and not plan[r["col"]].pii_suspected:
+            plan = plan.set(r["col"], role=r["role"], action=r["action"])
+    return plan
+
+
 def detect_scope(df: DataFrame, plan: Plan | None = None, env: list[str] | bool | None = None, design: Design | None = None) -> Scope:
     """The environment given, none (False), or the best valid candidate; two of equal rank that part rows differently are ambiguous."""
     design = design or detect_design(df, plan)

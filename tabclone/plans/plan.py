@@ -13,6 +13,8 @@ from ..functions.patterns import ACTIONS, CATEGORICAL, DATES, DESIGN, ENV_EXACT,
 from ..operators.profile import Profile, profile
 
 MODES = ("local", "collaborate")
+#: Units under which a shared clone draws no value for each unit.
+LEAST_UNITS = 5
 
 
 def default_action(role: str, kind: str, mode: str) -> str:
@@ -61,13 +63,16 @@ def problem(role: str, action: str, kind: str) -> str | None:
 
 
 def role_options(kind: str | None = None) -> list[dict]:
-    """The grid of roles and actions with the kinds each is valid for; only what is valid for kind, if given."""
+    """The grid of roles and actions with the kinds each is valid for, and why not for others; only what is valid for kind, if given."""
     rows = []
     for role in ROLES:
         for action in ACTIONS:
-            fits = [k for k in KINDS if problem(role, action, k) is None]
+            why = {k: problem(role, action, k) for k in KINDS}
+            fits = [k for k in KINDS if why[k] is None]
+            # what is said of the role tells more than what is said of the kind other
+            reasons = [w for k, w in sorted(why.items(), key=lambda x: x[0] == "other") if w]
             if kind is None or kind in fits:
-                rows.append({"role": role, "action": action, "kinds": ", ".join(fits), "valid": bool(fits)})
+                rows.append({"role": role, "action": action, "kinds": ", ".join(fits), "valid": bool(fits), "notes": reasons[0] if reasons else ""})
     return rows
 
 
@@ -182,6 +187,14 @@ def _classify(p: Profile, mode: str) -> Entry:
     return Entry(p.col, role, default_action(role, p.kind, mode), p.kind, p.summary(), False, note)
 
 
+def _with_grain(plan: Plan, df: DataFrame) -> Plan:
+    """Notes on columns with one value a unit, which are drawn once a unit; a shared clone needs so many units."""
+    from ..operators.grain import detect_grain
+
+    of = {c: ":".join(g.unit) for g in detect_grain(df, plan) if plan.mode == "local" or g.n_units >= LEAST_UNITS for c in g.cols}
+    return replace(plan, entries=tuple(replace(e, notes=f"{e.notes}; one value for each {of[e.col]}, drawn once for each") if e.col in of else e for e in plan.entries))
+
+
 def propose(df: DataFrame, mode: str = "local", detect: bool = True) -> Plan:
     """A plan from names, types and one profiling pass; a detected design may add to it, but never overrides a pinned action."""
     if mode not in MODES:
@@ -196,6 +209,7 @@ def propose(df: DataFrame, mode: str = "local", detect: bool = True) -> Plan:
         for col, role in found.recommended:
             if plan[col].role in ("covariate", "text") and not plan[col].pii_suspected:
                 plan = plan.set(col, role=role)
+    plan = _with_grain(plan, df)
     if mode == "collaborate" and (kept := [e.col for e in plan.entries if e.kind in NUMERIC and e.action == "keep" and any(matches(e.col, p) for p in (ENV_EXACT, ENV_SITE, ENV_YEAR))]):
         warn(EnvironmentDisclosure, f"numeric environments are kept and visible: {kept}")
     return plan

@@ -14,6 +14,8 @@ from ..mask import Clone
 FORMATS = {"csv": ",", "tsv": "\t", "parquet": None, "orc": None, "json": None}
 #: Texts that stand for a missing value.
 MISSING = ("", "NA")
+#: Rows of a sheet with its header, and characters of its name.
+SHEET_ROWS, SHEET_NAME = 1048576, 31
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None, infer: bool = True) -> DataFrame:
@@ -99,9 +101,31 @@ def write_clone(clone: Clone, path: str, overwrite: bool = False, allow_high: bo
     write_table(clone.data, path, overwrite)
 
 
+def write_workbook(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
+    """One sheet a table, written by the driver; tables with more rows than a sheet holds are refused.  Needs an engine of pandas."""
+    import pandas as pd
+
+    if not overwrite and os.path.exists(path):
+        raise ExistingTarget(f"{path} is there already", path)
+    if bad := [n for n in tables if not n or len(n) > SHEET_NAME or re.search(r"[\[\]:*?/\\]", n)]:
+        raise BadSheets(f"no valid names of sheets: {bad}", bad)
+    if bad := [n for n, t in tables.items() if t.limit(SHEET_ROWS).count() == SHEET_ROWS]:
+        raise BadSet(f"tables with more rows than a sheet holds: {bad}", bad)
+    try:
+        writer = pd.ExcelWriter(path)
+    except (ImportError, ValueError) as e:
+        raise BadSet("pandas has no engine that writes workbooks here") from e
+    with writer:
+        for n, t in tables.items():
+            t.toPandas().to_excel(writer, sheet_name=n, index=False)
+
+
 def write_set(clones: dict[str, Clone], path: str, kind: str = "csv", overwrite: bool = False, allow_high: bool = False) -> None:
+    """A folder of tables, or one workbook with a sheet for each."""
     for c in clones.values():
         c.gate(allow_high)
+    if path.lower().endswith(".xlsx"):
+        return write_workbook({n: c.data for n, c in clones.items()}, path, overwrite)
     if not overwrite and "://" not in path and os.path.isdir(path) and any(n.endswith(f".{kind}") for n in os.listdir(path)):
         raise ExistingTarget(f"{path} holds {kind} tables already", path)
     for name, c in clones.items():

@@ -456,3 +456,53 @@ def test_audit_on_request(spark, capsys):
     assert audit_mask(done, df, key=["plot"])[0] == stored[0] and "audit (mode local)" in capsys.readouterr().out
     again = mask(df, plan, seed=1, key=["id"], alias_names=True)
     assert audit_mask(again, df, key=["id"], show=False) == stored
+
+
+def test_treatments_by_rules_alone_need_evidence(spark):
+    rows = [(f"s{s}", r, f"v{v}", f"k{v % 2}", float(s * 7 + r * 3 + v), f"z{s % 2}") for s in range(4) for r in range(3) for v in range(6)]
+    df = spark.createDataFrame(rows, "site string, rep int, brand string, colour string, weight double, zone string")
+    found = design.candidates(df)
+    told = design.withheld(df, None, found, ["brand", "zone", "weight", "rep"])
+    assert "brand" not in told and told["zone"] == "one value for each site" and told["rep"] == "named like a design column" and "measurement" in told["weight"]
+    assert set(design.withheld(df.drop("site", "rep"), None, design.candidates(df.drop("site", "rep")), ["brand"])) == {"brand"}
+    near = design.Design("CRD", {"CRD": 0.9, "RCBD": 0.89, "factorial": 0.1}, {}, ["brand"], [], withheld={"brand": "why"})
+    assert near.recommended == [] and near.close == ["CRD", "RCBD"]
+    assert design.Design("CRD", {"CRD": 0.9, "RCBD": 0.5}, {}).close == []
+
+
+def test_environment_recommendations(spark):
+    df = spark.createDataFrame([(f"s{s}", f"g{g}", 2000 + s % 2, float(s + g)) for s in range(4) for g in range(5) for _ in range(2)], "site string, genotype string, year int, yield double")
+    scope = environment.Scope("multi", ("site",))
+    assert [r["action"] for r in environment.recommend(df, scope, "collaborate")] == ["alias"] and [r["action"] for r in environment.recommend(df, scope, "local")] == ["keep"]
+    doubt = environment.Scope("ambiguous", candidates=[environment.Candidate(("site",), "site", "high", 4, valid=True), environment.Candidate(("year",), "year", "medium", 4, valid=True)])
+    assert {(r["col"], r["action"]) for r in environment.recommend(df, doubt, "collaborate")} == {("site", "keep"), ("year", "keep")}
+    plan = propose(df, "collaborate", detect=False)
+    assert environment.overlay(plan, df, scope)["site"].action == "alias"
+    assert environment.overlay(plan.set("site", action="keep"), df, scope)["site"].action == "keep"
+    assert environment.recommend(df, environment.Scope("single"), "local") == []
+
+
+def test_grain_notes_and_reasons(spark):
+    df = spark.createDataFrame([(f"s{s}", float(s) + 0.5, float(i * s) + 0.25) for s in range(6) for i in range(4)], "site string, rain double, height double")
+    notes = {e.col: e.notes for e in propose(df, "collaborate", detect=False).entries}
+    assert "one value for each site" in notes["rain"] and "one value" not in notes["height"]
+    few = propose(df.where("site < 's3'"), "collaborate", detect=False)
+    assert "one value" not in few["rain"].notes and "one value for each site" in propose(df.where("site < 's3'"), "local", detect=False)["rain"].notes
+    by = {(r["role"], r["action"]): r["notes"] for r in role_options()}
+    assert by["design", "keep"] == "" and "can't be given" in by["design", "scramble"] and "needs one of" in by["outcome", "scramble"]
+
+
+def test_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id int, label string")
+    taken = tmp_path / "taken.xlsx"
+    taken.write_text("")
+    with pytest.raises(errors.ExistingTarget):
+        tables.write_workbook({"one": df}, str(taken))
+    with pytest.raises(errors.BadSheets):
+        tables.write_workbook({"a/b": df}, str(tmp_path / "new.xlsx"))
+    try:
+        tables.write_workbook({"one": df}, str(tmp_path / "new.xlsx"))
+    except errors.BadSet as e:
+        assert "engine" in str(e)
+    else:
+        assert tables.read_set(spark, str(tmp_path / "new.xlsx"))["one"].collect() == df.collect()
