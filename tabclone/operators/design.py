@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
 from typing import TYPE_CHECKING
@@ -64,42 +65,98 @@ class Design:
         return best if len(best) == 2 and self.label != "none" and self.scores[best[0]] - self.scores[best[1]] <= self.tie else []
 
 
-def candidates(df: DataFrame, plan: Plan | None = None) -> Candidates:
+class Answers:
+    """What the rules ask of rows: every question is one aggregate, for the whole table or for all slices at once, and is asked once.
+
+    by names the column that parts the rows into slices, of which the asker keeps a bounded number.
+    """
+
+    def __init__(self, df: DataFrame, by: str | None = None):
+        self.df, self.by, self.kept = df, [by] if by else [], {}
+        self.own = {c: k for c, k in kinds(df).items() if k in CATEGORICAL + NUMERIC and c != by}
+        self.whole = [c for c, k in self.own.items() if k in NUMERIC and (matches(c, SPATIAL_ROW) or matches(c, SPATIAL_COL))]
+
+    def ask(self, question: tuple, make: Callable[[], DataFrame]) -> dict[str | None, dict]:
+        if question not in self.kept:
+            self.kept[question] = {r[self.by[0]] if self.by else None: r.asDict() for r in make().collect()}
+        return self.kept[question]
+
+
+@dataclass
+class Slice:
+    """The answers for one slice, or for the whole table."""
+
+    answers: Answers
+    at: str | None = None
+
+    def columns(self) -> dict:
+        """n, the distinct values d|column, and whether the values of w|column are whole."""
+        a = self.answers
+        asked = [F.count(F.lit(1)).alias("n"), *(F.count_distinct(F.col(f"`{c}`")).alias(f"d|{c}") for c in a.own)]
+        whole = (F.coalesce(F.bool_and(F.col(f"`{c}`") == F.floor(F.col(f"`{c}`").cast("double"))), F.lit(False)).alias(f"w|{c}") for c in a.whole)
+        return a.ask(("columns",), lambda: a.df.groupBy(*a.by).agg(*asked, *whole))[self.at]
+
+    def cells(self, block: list[str], treatment: list[str]) -> dict:
+        a = self.answers
+        told = a.ask(("cells", *block, None, *treatment), lambda: cells(incidence(a.df, block, treatment, a.by), a.by))
+        r = dict(told.get(self.at, {"n_b": 0, "n_t": 0, "filled": 0, "lo": None, "hi": None, "n_rows": 0, "squares": 0}))
+        r["empty"] = r["n_b"] * r["n_t"] - r["filled"]
+        return r
+
+    def modal(self, block: list[str], treatment: list[str], side: str) -> dict:
+        a = self.answers
+        return a.ask((side, *block, None, *treatment), lambda: modal(incidence(a.df, block, treatment, a.by), side, a.by))[self.at]
+
+    def reps(self, t: str) -> dict:
+        """The levels of t, their fewest, most and all rows, and the sum of squares."""
+        a, n = self.answers, F.col("count")
+        told = a.ask(("reps", t), lambda: a.df.where(F.col(f"`{t}`").isNotNull()).groupBy(*a.by, F.col(f"`{t}`")).count().groupBy(*a.by).agg(F.count("*").alias("k"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.sum(n).alias("n"), F.sum(n * n).alias("sq")))
+        return told.get(self.at, {"k": 0, "lo": None, "hi": None, "n": 0, "sq": 0})
+
+    def pairs(self, x: str, y: str) -> int:
+        a = self.answers
+        return a.ask(("pairs", x, y), lambda: a.df.select(*a.by, F.col(f"`{x}`"), F.col(f"`{y}`")).distinct().groupBy(*a.by).agg(F.count("*").alias("n")))[self.at]["n"]
+
+    def constant(self, unit: str) -> dict:
+        """For each column, whether it has one value in every group of unit."""
+        a = self.answers
+        cols = [c for c in a.own if c != unit]
+        one = (F.min(f"`{c}`").eqNullSafe(F.max(f"`{c}`")).alias(c) for c in cols)
+        return a.ask(("constant", unit), lambda: a.df.groupBy(*a.by, F.col(f"`{unit}`")).agg(*one).groupBy(*a.by).agg(*(F.bool_and(f"`{c}`").alias(c) for c in cols)))[self.at]
+
+
+def rows_of(df: DataFrame) -> Slice:
+    return Slice(Answers(df))
+
+
+def candidates(rows: Slice, plan: Plan | None = None) -> Candidates:
     """Columns that could be factors, from one aggregate over kinds, distinct counts and whole values."""
-    own = {c: k for c, k in kinds(df).items() if k in CATEGORICAL + NUMERIC}
-    whole = [c for c, k in own.items() if k in NUMERIC and (matches(c, SPATIAL_ROW) or matches(c, SPATIAL_COL))]
-    asked = [F.count(F.lit(1)).alias("n"), *(F.count_distinct(F.col(f"`{c}`")).alias(f"d|{c}") for c in own)]
-    row = df.agg(*asked, *(F.coalesce(F.bool_and(F.col(f"`{c}`") == F.floor(F.col(f"`{c}`").cast("double"))), F.lit(False)).alias(f"w|{c}") for c in whole)).first()
+    own, whole, row = rows.answers.own, rows.answers.whole, rows.columns()
     n, levels = row["n"], {c: row[f"d|{c}"] for c in own}
+    own_treatments = [c for c in plan.cols(role="treatment") if rows.at is None or levels.get(c, 0) > 1] if plan else []
     out = set() if plan is None else set(plan.cols(role=("outcome", "id", "text", "other"))) | set(plan.cols(action="drop"))
     few, half = max(2, math.ceil(math.sqrt(max(n, 1)))), max(2, n // 2)
     most = {"factor": n, "logical": n, "integer": few, "numeric": few, "character": half}
     factors = [c for c, k in own.items() if c not in out and 2 <= levels[c] <= most[k]]
     rows, cols = ([c for c in whole if matches(c, p) and row[f"w|{c}"] and levels[c] >= 2] for p in (SPATIAL_ROW, SPATIAL_COL))
-    return Candidates(n, levels, factors, [c for c in factors if matches(c, TREATMENT)], [c for c in factors if matches(c, DESIGN)], (rows[0], cols[0]) if rows and cols else None, plan.cols(role="treatment") if plan else [])
+    return Candidates(n, levels, factors, [c for c in factors if matches(c, TREATMENT)], [c for c in factors if matches(c, DESIGN)], (rows[0], cols[0]) if rows and cols else None, own_treatments)
 
 
-def revised(df: DataFrame, plan: Plan | None, found: Candidates) -> tuple[Candidates, dict[str, str]]:
+def revised(rows: Slice, found: Candidates) -> tuple[Candidates, dict[str, str]]:
     """Without covariates: outcome-like names, and columns with one value for each level of a replicated design column."""
     units = [c for c in found.named_blocks if found.levels[c] * 2 <= found.n]
     free = [c for c in found.factors if c not in units and c not in found.own_treatments and not matches(c, TREATMENT) and not matches(c, DESIGN)]
     gone = {c: "named like an outcome" for c in free if matches(c, OUTCOME)}
     rest = [c for c in free if c not in gone]
-    if units and rest:
-        for r in constant_within(df, {u: [u] for u in units}, rest).collect():
-            for c in rest:
-                if r[c] and r["unit"] is not None:
-                    gone.setdefault(c, f"one value for each {r['unit']}")
+    for u in units if rest else []:
+        fixed = rows.constant(u)
+        for c in rest:
+            if fixed[c]:
+                gone.setdefault(c, f"one value for each {u}")
     kept = [c for c in found.factors if c not in gone]
     return Candidates(found.n, found.levels, kept, [c for c in found.named_treatments if c in kept], [c for c in found.named_blocks if c in kept], found.spatial, found.own_treatments), gone
 
 
-def _stats(df: DataFrame, block: str | list[str], treatment: str | list[str]) -> dict:
-    r = cells(incidence(df, block, treatment)).first().asDict()
-    r["empty"] = r["n_b"] * r["n_t"] - r["filled"]
-    return r
-
-
 def spread(n_cells: int, total: float, squares: float) -> float:
     """The coefficient of variation of cells with this sum and sum of squares, empty ones included."""
     if n_cells < 1 or total <= 0:
@@ -113,30 +170,30 @@ def _zero(reason: str) -> tuple[float, dict]:
     return 0.0, {"reason": reason}
 
 
-def score_crd(df: DataFrame, c: Candidates) -> tuple[float, dict]:
+def score_crd(rows: Slice, c: Candidates) -> tuple[float, dict]:
     if (t := c.treatment()) is None:
         return _zero("no treatment")
-    reps = df.where(F.col(f"`{t}`").isNotNull()).groupBy(t).count().agg(F.count("*").alias("k"), F.min("count").alias("lo"), F.max("count").alias("hi"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq")).first()
+    reps = rows.reps(t)
     if reps["k"] < 2 or reps["lo"] < 2:
         return _zero("no replication")
     balance = max(0.0, 1 - spread(reps["k"], reps["n"], reps["sq"]))
     penalty = 0.0
     for b in c.factors:
         if b != t:
-            s = _stats(df, b, t)
+            s = rows.cells([b], [t])
             if s["n_b"] >= 2 and s["n_t"] >= 2 and s["empty"] == 0 and s["lo"] == s["hi"]:
                 penalty = 0.6
                 break
     return max(0.0, balance - penalty), {"treatment": [t], "blocks": [], "balance": balance, "penalty": penalty, "reps": (reps["lo"], reps["hi"])}
 
 
-def score_rcbd(df: DataFrame, c: Candidates) -> tuple[float, dict]:
+def score_rcbd(rows: Slice, c: Candidates) -> tuple[float, dict]:
     t = c.treatment()
     best = _zero("no balanced treatment and named block")
     for b in c.named_blocks if t else []:
         if b == t:
             continue
-        s = _stats(df, b, t)
+        s = rows.cells([b], [t])
         if s["n_b"] >= 2 and s["n_t"] >= 2 and s["empty"] == 0 and s["lo"] == s["hi"]:
             coverage = min(1.0, s["n_rows"] / max(c.n, 1))
             score = min(1.0, 0.85 * coverage + 0.1)
@@ -145,16 +202,15 @@ def score_rcbd(df: DataFrame, c: Candidates) -> tuple[float, dict]:
     return best
 
 
-def score_ibd(df: DataFrame, c: Candidates) -> tuple[float, dict]:
+def score_ibd(rows: Slice, c: Candidates) -> tuple[float, dict]:
     t = c.treatment()
     best = _zero("no regular incomplete blocks")
     free = [f for f in c.factors if f != t]
     for basis in [[f] for f in free] + [list(p) for p in combinations(free, 2)] if t else []:
-        inc = incidence(df, basis, t)
-        s = cells(inc).first()
+        s = rows.cells(basis, [t])
         if s["n_b"] < 3 or s["n_t"] < 2:
             continue
-        k, r = modal(inc, "b").first(), modal(inc, "t").first()
+        k, r = rows.modal(basis, [t], "b"), rows.modal(basis, [t], "t")
         if not (2 <= k["mode"] < s["n_t"] and r["mode"] >= 2 and k["share"] >= 0.9 and r["share"] >= 0.9):
             continue
         balanced = s["n_t"] * r["mode"] == s["n_b"] * k["mode"]
@@ -164,21 +220,21 @@ def score_ibd(df: DataFrame, c: Candidates) -> tuple[float, dict]:
     return best
 
 
-def score_row_column(df: DataFrame, c: Candidates) -> tuple[float, dict]:
+def score_row_column(rows: Slice, c: Candidates) -> tuple[float, dict]:
     if c.spatial is None:
         return _zero("no pair of row and column")
     row, col = c.spatial
-    fill = df.select(row, col).distinct().count() / (c.levels[row] * c.levels[col])
+    fill = rows.pairs(row, col) / (c.levels[row] * c.levels[col])
     if (t := c.treatment()) is None:
         return 0.3 * fill, {"treatment": [], "blocks": [row, col], "fill": fill}
     balance = []
     for x in (row, col):
-        s = _stats(df, x, t)
+        s = rows.cells([x], [t])
         balance.append(max(0.0, 1 - spread(s["n_b"] * s["n_t"], s["n_rows"], s["squares"])))
     return min(1.0, 0.3 * fill + 0.35 * balance[0] + 0.35 * balance[1]), {"treatment": [t], "blocks": [row, col], "fill": fill, "balance": balance}
 
 
-def score_split_plot(df: DataFrame, c: Candidates) -> tuple[float, dict]:
+def score_split_plot(rows: Slice, c: Candidates) -> tuple[float, dict]:
     best = _zero("no block with whole and sub plots")
     free = [f for f in c.factors if f not in c.named_blocks]
     for b in c.named_blocks if len(c.factors) >= 3 else []:
@@ -186,7 +242,7 @@ def score_split_plot(df: DataFrame, c: Candidates) -> tuple[float, dict]:
             if c.levels[pair[0]] == c.levels[pair[1]] or min(c.levels[pair[0]], c.levels[pair[1]], c.levels[b]) < 2:
                 continue
             whole, sub = sorted(pair, key=lambda x: c.levels[x])
-            s = _stats(df, [b, whole], sub)
+            s = rows.cells([b, whole], [sub])
             coverage, uniform = s["filled"] / (c.levels[b] * c.levels[whole] * c.levels[sub]), s["lo"] == s["hi"]
             score = min(1.0, 0.6 * coverage + 0.3 * uniform + 0.1)
             if score > best[0]:
@@ -194,10 +250,10 @@ def score_split_plot(df: DataFrame, c: Candidates) -> tuple[float, dict]:
     return best
 
 
-def score_factorial(df: DataFrame, c: Candidates) -> tuple[float, dict]:
+def score_factorial(rows: Slice, c: Candidates) -> tuple[float, dict]:
     best = _zero("no crossed pair of treatments")
     for a, b in combinations([f for f in c.factors if f not in c.named_blocks], 2):
-        s = _stats(df, a, b)
+        s = rows.cells([a], [b])
         if s["n_b"] < 2 or s["n_t"] < 2 or s["empty"]:
             continue
         balance = max(0.0, 1 - spread(s["filled"], s["n_rows"], s["squares"]))
@@ -246,12 +302,18 @@ def withheld(df: DataFrame, plan: Plan | None, found: Candidates, treatments: li
     return out
 
 
-def detect_design(df: DataFrame, plan: Plan | None = None, threshold: float = THRESHOLD, tie: float = TIE) -> Design:
-    found, gone = revised(df, plan, candidates(df, plan))
-    told = {k: rule(df, found) for k, rule in RULES.items()}
+def judged(rows: Slice, plan: Plan | None = None, threshold: float = THRESHOLD, tie: float = TIE) -> Design:
+    """The design of a slice, from the scores of all rules."""
+    found, gone = revised(rows, candidates(rows, plan))
+    told = {k: rule(rows, found) for k, rule in RULES.items()}
     scores = {k: s for k, (s, _) in told.items()}
     label = pick(scores, threshold, tie)
     evidence = {k: e for k, (_, e) in told.items()} | {"excluded": gone}
     own = evidence.get(label, {})
-    treatment = own.get("treatment", [])
-    return Design(label, scores, evidence, treatment, own.get("blocks", []), found, withheld(df, plan, found, treatment), tie)
+    return Design(label, scores, evidence, own.get("treatment", []), own.get("blocks", []), found, {}, tie)
+
+
+def detect_design(df: DataFrame, plan: Plan | None = None, threshold: float = THRESHOLD, tie: float = TIE) -> Design:
+    made = judged(rows_of(df), plan, threshold, tie)
+    made.withheld = withheld(df, plan, made.candidates, made.treatment)
+    return made

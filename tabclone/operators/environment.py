@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidEnvironment  # type: ignore[attr-defined]
 from ..functions.kinds import kinds
 from ..functions.patterns import CATEGORICAL, ENV_EXACT, ENV_PRECOMPOSED, ENV_RESERVED, ENV_SITE, ENV_YEAR, GROUPING, matches
-from .design import Design, detect_design
+from .design import Answers, Design, Slice, detect_design, judged
 from .incidence import components, incidence
 
 if TYPE_CHECKING:
@@ -43,6 +43,8 @@ class Scope:
     grouping: list[dict] = field(default_factory=list)
     per_env: list[dict] = field(default_factory=list)
     per_env_hidden: int = 0
+    blocks: list[str] = field(default_factory=list)  # of the pooled rows, revised by those of the environments
+    block_revision: str | None = None
 
 
 def propose_environments(cols: list[str], treatments: list[str], plan: Plan | None = None) -> list[Candidate]:
@@ -117,17 +119,55 @@ def grouping(df: DataFrame, group: str, treatment: str) -> DataFrame:
     return told.select(F.lit(group).alias("col"), "n_groups", "n_treatments", "confined_fraction", "shared_treatments", status.alias("status"))
 
 
+def _slices(df: DataFrame, env: list[str]) -> DataFrame:
+    """The rows that have an environment, with its label as __env in place of its columns."""
+    label = F.concat_ws(":", *(F.col(f"`{e}`").cast("string") for e in env))
+    return df.dropna(subset=env).withColumn("__env", label).drop(*env)
+
+
 def per_environment(df: DataFrame, env: list[str], treatment: str, block: str | None) -> DataFrame:
-    """A row for each environment from one grouped pass: rows, treatments, replication, and the design that its blocks show."""
-    keys = [F.col(f"`{e}`") for e in env]
-    rows = df.dropna(subset=[*env, treatment]).select(F.concat_ws(":", *(k.cast("string") for k in keys)).alias("env"), F.col(f"`{treatment}`").alias("t"), (F.col(f"`{block}`") if block else F.lit(None).cast("string")).alias("b"))
+    """A row for each environment from one grouped pass: rows, treatments, replication and blocks."""
+    rows = _slices(df, env).dropna(subset=[treatment]).select(F.col("__env").alias("env"), F.col(f"`{treatment}`").alias("t"), (F.col(f"`{block}`") if block else F.lit(None).cast("string")).alias("b"))
     cell = rows.groupBy("env", "t", "b").agg(F.count("*").alias("n"))
     reps = cell.groupBy("env", "t").agg(F.sum("n").alias("reps")).groupBy("env").agg(F.count("*").alias("n_treatments"), F.min("reps").alias("min_reps"), F.max("reps").alias("max_reps"), F.sum("reps").alias("n_rows"))
-    blocks = cell.where("b IS NOT NULL").groupBy("env").agg(F.count_distinct("b").alias("n_blocks"), F.count("*").alias("cells"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    both = reps.join(blocks, "env", "left").na.fill(0, ["n_blocks", "cells", "lo", "hi"])
-    full = (F.col("n_blocks") >= 2) & (F.col("cells") == F.col("n_blocks") * F.col("n_treatments")) & (F.col("lo") == F.col("hi"))
-    label = F.when(F.col("n_treatments") < 2, "none").when(full, "RCBD").when(F.col("min_reps") >= 2, "CRD").otherwise("unreplicated")
-    return both.select("env", "n_rows", "n_treatments", "min_reps", "max_reps", "n_blocks", label.alias("design"))
+    blocks = cell.where("b IS NOT NULL").groupBy("env").agg(F.count_distinct("b").alias("n_blocks"))
+    return reps.join(blocks, "env", "left").na.fill(0, ["n_blocks"]).select("env", "n_rows", "n_treatments", "min_reps", "max_reps", "n_blocks")
+
+
+def designs(df: DataFrame, env: list[str], treatments: list[str], plan: Plan | None = None) -> tuple[list[dict], int]:
+    """The design of every environment by the whole detector, for the first SHOWN of them, and how many there are besides.
+
+    Each question of a rule is one aggregate for all these environments at once, so jobs don't grow with their number.
+    """
+    rows = _slices(df, env)
+    names = [r["__env"] for r in rows.select("__env").distinct().orderBy("__env").limit(SHOWN + 1).collect()]
+    hidden = 0
+    if len(names) > SHOWN:
+        names = names[:SHOWN]
+        hidden = rows.select("__env").distinct().count() - SHOWN
+        rows = rows.where(F.col("__env").isin(names))
+    answers = Answers(rows, "__env")
+    out = []
+    for name in names:
+        part = Slice(answers, name)
+        told = part.columns()
+        varied = [c for c in answers.own if told[f"d|{c}"] > 1]
+        own = [c for c in treatments if c in varied]
+        row = {"env": name, "design": "none", "score": 0.0, "treatment": " + ".join(own), "blocks": "", "spatial": "", "n_rows": told["n"], "n_treatments": 0}
+        if told["n"] >= 2 and varied:
+            made = judged(part, plan)
+            which = "spatial" if made.label == "row-column" else "blocks"
+            row |= {"design": made.label, "score": float(made.scores.get(made.label, max(made.scores.values()))), which: (" x " if which == "spatial" else " : ").join(made.blocks)}
+            row["n_treatments"] = 0 if not own else told[f"d|{own[0]}"] if len(own) == 1 else part.cells(own, own)["n_b"]
+        out.append(row)
+    return out, hidden
+
+
+def revised_blocks(pooled: list[str], per_env: list[dict]) -> tuple[str, list[str]]:
+    """The blocks on which all environments agree, or none, and what that makes of those of the pooled rows."""
+    bases = {r["blocks"] for r in per_env}
+    agreed = [b for b in bases.pop().split(" : ") if b] if len(bases) == 1 else []
+    return "unchanged" if set(agreed) == set(pooled) else "consensus" if agreed else "cleared", agreed
 
 
 def recommend(df: DataFrame, scope: Scope, mode: str) -> list[dict]:
@@ -176,8 +216,6 @@ def detect_scope(df: DataFrame, plan: Plan | None = None, env: list[str] | bool
         scope.connectivity = connectivity(incidence(df, list(chosen.cols), treatment))
         groups = [c for c in df.columns if matches(c, GROUPING) and c not in chosen.cols]
         scope.grouping = [grouping(df, g, treatment).first().asDict() for g in groups]
-        block = next((b for b in (design.candidates.named_blocks if design.candidates else []) if b not in chosen.cols), None)
-        each = per_environment(df, list(chosen.cols), treatment, block)
-        scope.per_env = [r.asDict() for r in each.orderBy("env").limit(SHOWN).collect()]
-        scope.per_env_hidden = each.count() - len(scope.per_env)
+        scope.per_env, scope.per_env_hidden = designs(df, list(chosen.cols), design.treatment, plan)
+        scope.block_revision, scope.blocks = revised_blocks([] if design.label == "row-column" else design.blocks, scope.per_env)
     return scope

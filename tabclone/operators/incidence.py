@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def incidence(df: DataFrame, block: str | list[str], treatment: str | list[str]) -> DataFrame:
-    """b, t and n for every pair that occurs; rows with a null in either are left out."""
+def incidence(df: DataFrame, block: str | list[str], treatment: str | list[str], by: Sequence[str] = ()) -> DataFrame:
+    """b, t and n for every pair that occurs (in each slice, if by names columns); rows with a null in either are left out."""
     blocks, treatments = ([x] if isinstance(x, str) else list(x) for x in (block, treatment))
     rows = df.dropna(subset=[*blocks, *treatments])
     key = lambda cs: F.col(f"`{cs[0]}`").cast("string") if len(cs) == 1 else F.concat_ws(":", *(F.col(f"`{c}`").cast("string") for c in cs))
-    return rows.select(key(blocks).alias("b"), key(treatments).alias("t")).groupBy("b", "t").agg(F.count("*").alias("n"))
+    return rows.select(*by, key(blocks).alias("b"), key(treatments).alias("t")).groupBy(*by, "b", "t").agg(F.count("*").alias("n"))
 
 
-def cells(inc: DataFrame) -> DataFrame:
-    """One row: blocks, treatments, cells that occur, their smallest and largest count, rows, and the sum of squared counts."""
-    return inc.agg(F.count_distinct("b").alias("n_b"), F.count_distinct("t").alias("n_t"), F.count("*").alias("filled"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("squares"))
+def cells(inc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (a slice): blocks, treatments, cells that occur, their smallest and largest count, rows, and the sum of squared counts."""
+    return inc.groupBy(*by).agg(F.count_distinct("b").alias("n_b"), F.count_distinct("t").alias("n_t"), F.count("*").alias("filled"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("squares"))
 
 
-def modal(inc: DataFrame, side: str) -> DataFrame:
-    """One row: the most frequent number of partners of a side (the smallest on a tie) and its share."""
-    sizes = inc.groupBy(side).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("m"))
-    best = sizes.agg(F.max(F.struct("m", (-F.col("size")).alias("s"))).alias("x"), F.sum("m").alias("total"))
-    return best.select((-F.col("x.s")).alias("mode"), (F.col("x.m") / F.col("total")).alias("share"))
+def modal(inc: DataFrame, side: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row (a slice): the most frequent number of partners of a side (the smallest on a tie) and its share."""
+    sizes = inc.groupBy(*by, side).agg(F.count("*").alias("size")).groupBy(*by, "size").agg(F.count("*").alias("m"))
+    best = sizes.groupBy(*by).agg(F.max(F.struct("m", (-F.col("size")).alias("s"))).alias("x"), F.sum("m").alias("total"))
+    return best.select(*by, (-F.col("x.s")).alias("mode"), (F.col("x.m") / F.col("total")).alias("share"))
 
 
 def constant_within(df: DataFrame, units: dict[str, list[str]], cols: list[str]) -> DataFrame:

@@ -573,12 +573,37 @@ def linked_join_preserved(spark, sf_dir):
 
 
 def plots(spark, sf_dir):
-    """A designed trial: 6 sites x 3 reps x 16 varieties, from range alone."""
-    i = F.col("id")
-    return spark.range(0, 288, 1, 2).select(F.concat(F.lit("s"), (i / 48).cast("int").cast("string")).alias("site"), ((i / 16).cast("int") % 3 + 1).alias("rep"), F.concat(F.lit("g"), (i % 16).cast("string")).alias("genotype"), (i % 16 + (i / 48).cast("int") * 3.5 + (i * 37 % 11) / 10).alias("yield"))
+    """Trials of market segments at nations: three full blocks at the even ones, and as customers fall at the odd ones."""
+    c = table(spark, sf_dir, "customer")
+    full = c.where("c_nationkey % 2 = 0").select("c_nationkey", "c_mktsegment").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    rest = c.where("c_nationkey % 2 = 1").select("c_nationkey", "c_mktsegment", (F.col("c_custkey") % 3 + 1).cast("int").alias("rep"))
+    return full.unionByName(rest).select(F.col("c_nationkey").alias("site"), "rep", F.col("c_mktsegment").alias("genotype"))
+
+
+TRIAL = "(SELECT c_nationkey AS site, rep, c_mktsegment AS genotype FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_nationkey % 2 = 0), range(1, 4) t(rep) UNION ALL SELECT c_nationkey, c_custkey % 3 + 1, c_mktsegment FROM customer WHERE c_nationkey % 2 = 1)"
+
+
+def _modal_sql(name: str, side: str, partner: str) -> str:
+    return f"{name} AS (SELECT e, size AS mode, m / total AS share FROM (SELECT *, sum(m) OVER (PARTITION BY e) AS total, row_number() OVER (PARTITION BY e ORDER BY m DESC, size) AS i FROM (SELECT e, size, count(*) AS m FROM (SELECT e, count(DISTINCT {partner}) AS size FROM d GROUP BY e, {side}) GROUP BY ALL)) WHERE i = 1)"
+
+
+def _designs_sql(rows: str) -> str:
+    """WITH clauses from rows of e (slice), rep and genotype to judged, which has the scores, the design and its parts for each slice."""
+    reps = "SELECT e, min(m) AS lo, greatest(0, 1 - coalesce(stddev_samp(m), 0) / avg(m)) AS balance FROM (SELECT e, {0}, count(*) AS m FROM d GROUP BY ALL) GROUP BY e"
+    return f"""
+WITH d AS {rows}, f AS (SELECT *, nb BETWEEN 2 AND greatest(2, ceil(sqrt(n))) AS fb, nt BETWEEN 2 AND greatest(2, n // 2) AS ft FROM (SELECT e, count(*) AS n, count(DISTINCT rep) AS nb, count(DISTINCT genotype) AS nt FROM d GROUP BY e)),
+x AS (SELECT e, count(*) = count(DISTINCT rep) * count(DISTINCT genotype) AND min(m) = max(m) AS even FROM (SELECT e, rep, genotype, count(*) AS m FROM d GROUP BY ALL) GROUP BY e),
+g AS ({reps.format('genotype')}), h AS ({reps.format('rep')}), {_modal_sql('k', 'rep', 'genotype')}, {_modal_sql('r', 'genotype', 'rep')},
+scores AS (SELECT e, n, nt,
+ CASE WHEN ft AND g.lo >= 2 THEN greatest(0, g.balance - CASE WHEN fb AND even THEN 0.6 ELSE 0 END) WHEN NOT ft AND fb AND h.lo >= 2 THEN h.balance ELSE 0 END AS crd, CASE WHEN ft AND fb AND even THEN 0.95 ELSE 0 END AS rcbd,
+ CASE WHEN ft AND fb AND nb >= 3 AND k.mode BETWEEN 2 AND nt - 1 AND r.mode >= 2 AND k.share >= 0.9 AND r.share >= 0.9
+  THEN least(1, 0.65 * (k.share + r.share) / 2 + CASE WHEN k.mode / nt < 0.9 THEN 0.1 ELSE 0 END + 0.1 + CASE WHEN nt * r.mode = nb * k.mode THEN 0.15 ELSE 0 END) ELSE 0 END AS ibd
+ FROM f JOIN x USING (e) JOIN g USING (e) JOIN h USING (e) JOIN k USING (e) JOIN r USING (e)),
+named AS (SELECT *, CASE WHEN best < 0.5 THEN 'none' WHEN crd >= best - 0.02 THEN 'CRD' WHEN rcbd >= best - 0.02 THEN 'RCBD' ELSE 'IBD/alpha-lattice' END AS design FROM (SELECT *, greatest(crd, rcbd, ibd) AS best FROM scores)),
+judged AS (SELECT *, CASE design WHEN 'CRD' THEN crd WHEN 'RCBD' THEN rcbd WHEN 'none' THEN best ELSE ibd END AS score, CASE WHEN design IN ('RCBD', 'IBD/alpha-lattice') THEN 'rep' ELSE '' END AS blocks FROM named)"""
 
 
-TRIAL = "(SELECT 's' || CAST(i // 48 AS VARCHAR) AS site, CAST(i // 16 % 3 + 1 AS INT) AS rep, 'g' || CAST(i % 16 AS VARCHAR) AS genotype FROM range(288) t(i))"
+POOLED = _designs_sql(f"(SELECT 0 AS e, rep, genotype FROM {TRIAL})")
 
 
 @query("SELECT l_returnflag AS b, l_linestatus AS t, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -586,16 +611,17 @@ def incidence_counts(spark, sf_dir):
     return incidence.incidence(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query("SELECT 'CRD' AS rule, round(1 - 0.6, 6) AS score UNION ALL SELECT 'RCBD', 0.95 UNION ALL SELECT 'factorial', 0 UNION ALL SELECT 'IBD/alpha-lattice', 0 UNION ALL SELECT 'row-column', 0 UNION ALL SELECT 'split-plot', 0")
+@query(POOLED + " SELECT 'CRD' AS rule, round(crd, 6) AS score FROM judged UNION ALL SELECT 'RCBD', round(rcbd, 6) FROM judged UNION ALL SELECT 'IBD/alpha-lattice', round(ibd, 6) FROM judged UNION ALL SELECT unnest(['factorial', 'row-column', 'split-plot']), 0 FROM judged")
 def score_designs(spark, sf_dir):
-    found = design.detect_design(plots(spark, sf_dir))
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.scores.items()], "rule string, score double")
+    """Of the pooled trials; three rules need more columns than they have."""
+    found = design.detect_design(plots(spark, sf_dir).drop("site"))
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in found.scores.items()], "rule string, score double")
 
 
-@query("SELECT 'RCBD' AS design, 'genotype' AS treatment, TRUE AS has_block")
+@query(POOLED + " SELECT design, CASE WHEN design = 'none' THEN '' ELSE 'genotype' END AS treatment, blocks FROM judged")
 def pick_design(spark, sf_dir):
-    found = design.detect_design(plots(spark, sf_dir))
-    return spark.createDataFrame([(found.label, found.treatment[0], found.blocks[0] in ("site", "rep"))], "design string, treatment string, has_block boolean")
+    found = design.detect_design(plots(spark, sf_dir).drop("site"))
+    return spark.createDataFrame([(found.label, " + ".join(found.treatment), " : ".join(found.blocks))], "design string, treatment string, blocks string")
 
 
 def _spread_sql(block: str, treatment: str) -> str:
@@ -648,21 +674,17 @@ def grouping_diagnostics(spark, sf_dir):
     return got.withColumn("confined_fraction", F.round("confined_fraction", 6))
 
 
-def _per_env_sql(rows: str) -> str:
-    """From rows of e (environment), t (treatment) and b (block)."""
-    return f"""
-WITH cell AS (SELECT e, t, b, count(*) AS n FROM {rows} GROUP BY ALL), reps AS (SELECT e, count(*) AS n_treatments, min(r) AS min_reps, max(r) AS max_reps, sum(r) AS n_rows FROM (SELECT e, t, sum(n) AS r FROM cell GROUP BY ALL) GROUP BY e),
-blocks AS (SELECT e, count(DISTINCT b) AS n_blocks, count(*) AS cells, min(n) AS lo, max(n) AS hi FROM cell WHERE b IS NOT NULL GROUP BY e)
-SELECT e AS env, CAST(n_rows AS BIGINT) AS n_rows, n_treatments, CAST(min_reps AS BIGINT) AS min_reps, CAST(max_reps AS BIGINT) AS max_reps, n_blocks,
- CASE WHEN n_treatments < 2 THEN 'none' WHEN n_blocks >= 2 AND cells = n_blocks * n_treatments AND lo = hi THEN 'RCBD' WHEN min_reps >= 2 THEN 'CRD' ELSE 'unreplicated' END AS design FROM reps JOIN blocks USING (e)"""
-
-
-@query(_per_env_sql(f"(SELECT site AS e, genotype AS t, rep AS b FROM {TRIAL})"))
+@query(_designs_sql(f"(SELECT site AS e, rep, genotype FROM {TRIAL})") + " SELECT CAST(e AS VARCHAR) AS env, design, round(score, 6) AS score, CASE WHEN nt > 1 THEN 'genotype' ELSE '' END AS treatment, blocks, n AS n_rows, CASE WHEN nt > 1 THEN nt ELSE 0 END AS n_treatments FROM judged")
 def per_env_design(spark, sf_dir):
-    return environment.per_environment(plots(spark, sf_dir), ["site"], "genotype", "rep")
+    """The whole detector in every environment."""
+    told, _ = environment.designs(plots(spark, sf_dir), ["site"], ["genotype"])
+    return spark.createDataFrame([(r["env"], r["design"], round(r["score"], 6), r["treatment"], r["blocks"], r["n_rows"], r["n_treatments"]) for r in told], "env string, design string, score double, treatment string, blocks string, n_rows long, n_treatments long")
 
 
-@query(_per_env_sql("(SELECT CAST(c_nationkey AS VARCHAR) AS e, o_orderpriority AS t, o_orderstatus AS b FROM orders JOIN customer ON o_custkey = c_custkey)"))
+@query("""
+WITH cell AS (SELECT CAST(c_nationkey AS VARCHAR) AS env, o_orderpriority AS t, o_orderstatus AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT env, CAST(sum(r) AS BIGINT) AS n_rows, count(*) AS n_treatments, CAST(min(r) AS BIGINT) AS min_reps, CAST(max(r) AS BIGINT) AS max_reps, (SELECT count(DISTINCT b) FROM cell c WHERE c.env = s.env) AS n_blocks FROM (SELECT env, t, sum(n) AS r FROM cell GROUP BY ALL) s GROUP BY env
+""")
 def per_env_orders(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderpriority", "o_orderstatus")
@@ -714,10 +736,15 @@ def conform_replay(spark, sf_dir):
     return mask(conformed, plan, seed=SEED, key=["rid"]).recipe.forward(rows)
 
 
-@query("SELECT 'multi' AS status, 'site' AS env, 'connected' AS connectivity, 6 AS environments")
+@query(f"""
+WITH RECURSIVE d AS {TRIAL}, e AS (SELECT DISTINCT 'b:' || site AS x, 't:' || genotype AS y FROM d), both_ AS (SELECT x, y FROM e UNION SELECT y, x FROM e), walk(x, y) AS (SELECT x, x FROM both_ UNION SELECT w.x, b.y FROM walk w JOIN both_ b ON w.y = b.x),
+parts AS (SELECT count(DISTINCT c) AS n FROM (SELECT min(y) AS c FROM walk GROUP BY x)), shared AS (SELECT max(k) >= 2 AS ok FROM (SELECT count(DISTINCT site) AS k FROM d GROUP BY genotype)),
+rep AS (SELECT avg(r) AS r FROM (SELECT max(CAST(n >= 2 AS INT)) AS r FROM (SELECT site, genotype, count(*) AS n FROM d GROUP BY ALL) GROUP BY site))
+SELECT CASE WHEN NOT shared.ok THEN 'single' WHEN rep.r >= 0.5 THEN 'multi' ELSE 'review' END AS status, 'site' AS env, CASE WHEN parts.n = 1 THEN 'connected' ELSE 'disconnected' END AS connectivity, (SELECT count(DISTINCT site) FROM d) AS environments FROM parts, shared, rep
+""")
 def env_scope(spark, sf_dir):
     s = environment.detect_scope(plots(spark, sf_dir))
-    return spark.createDataFrame([(s.status, ",".join(s.env), s.connectivity["status"], s.connectivity["sizes"][0]["n_env"])], "status string, env string, connectivity string, environments int")
+    return spark.createDataFrame([(s.status, ",".join(s.env), s.connectivity["status"], sum(p["n_env"] for p in s.connectivity["sizes"]))], "status string, env string, connectivity string, environments int")
 
 
 # --- audit and release

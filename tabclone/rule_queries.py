@@ -20,8 +20,9 @@ from .sources.tables import read_set, read_table, write_table
 
 
 def scored(df, rule: str):
-    found, _ = design.revised(df, None, design.candidates(df))
-    score, _ = design.RULES[rule](df, found)
+    rows = design.rows_of(df)
+    found, _ = design.revised(rows, design.candidates(rows))
+    score, _ = design.RULES[rule](rows, found)
     return df.sparkSession.createDataFrame([(rule, round(float(score), 6))], "rule string, score double")
 
 
@@ -107,8 +108,9 @@ def design_candidates(spark, sf_dir):
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     rows = rows.select(F.col("c_nationkey").alias("site"), F.col("c_mktsegment").alias("genotype"), F.col("r_name").alias("zone"), F.col("o_orderstatus").alias("response"), F.col("o_orderpriority").alias("class"), F.col("o_totalprice").alias("price"))
-    first = design.candidates(rows)
-    left, _ = design.revised(rows, None, first)
+    asked = design.rows_of(rows)
+    first = design.candidates(asked)
+    left, _ = design.revised(asked, first)
     return spark.createDataFrame([(x, v, x in first.factors, x in left.factors) for x, v in first.levels.items()], "col string, levels long, factor boolean, kept boolean")
 
 

@@ -251,6 +251,7 @@ def test_scope(spark, trial):
     df = trial.select("site", "rep", "variety", "yield")
     s = environment.detect_scope(df)
     assert s.status == "multi" and s.env == ("site",) and s.connectivity["status"] == "connected" and {r["design"] for r in s.per_env} == {"RCBD"}
+    assert s.blocks == ["rep"] and {(r["treatment"], r["blocks"]) for r in s.per_env} == {("variety", "rep")}
     assert environment.detect_scope(df, env=False).status == "disabled"
     with pytest.raises(errors.InvalidEnvironment):
         environment.detect_scope(df, env=["nowhere"])
@@ -258,6 +259,17 @@ def test_scope(spark, trial):
     assert environment.connectivity(incidence.incidence(apart, "e", "t"))["components"] == 2
 
 
+def test_designs_of_environments(spark):
+    """Each environment gets its own verdict: full blocks, no blocks, a constant treatment, a single row."""
+    rows = [("a", r, f"g{g}", float(g + r)) for r in range(3) for g in range(4)] + [("b", i % 3, f"g{i % 2}", float(i)) for i in range(13)] + [("c", r, "g0", float(r)) for r in range(8)] + [("d", 1, "g1", 0.5), (None, 1, "g1", 0.5)]
+    told, hidden = environment.designs(spark.createDataFrame(rows, "site string, rep int, genotype string, height double"), ["site"], ["genotype"])
+    got = {r["env"]: (r["design"], r["treatment"], r["blocks"], r["n_rows"], r["n_treatments"]) for r in told}
+    assert hidden == 0 and got["a"] == ("RCBD", "genotype", "rep", 12, 4) and got["b"] == ("CRD", "genotype", "", 13, 2)
+    assert got["c"] == ("none", "", "", 8, 0) and got["d"] == ("none", "", "", 1, 0)
+    assert environment.revised_blocks(["rep"], told) == ("cleared", [])
+    assert environment.revised_blocks([], [{"blocks": "rep : row"}]) == ("consensus", ["rep", "row"]) and environment.revised_blocks(["rep"], [{"blocks": "rep"}]) == ("unchanged", ["rep"])
+
+
 def test_reports_count_what_they_do_not_list(spark, trial, monkeypatch):
     monkeypatch.setattr(environment, "SHOWN", 1, raising=False)
     monkeypatch.setattr(events, "SHOWN", 1, raising=False)
@@ -461,10 +473,10 @@ def test_audit_on_request(spark, capsys):
 def test_treatments_by_rules_alone_need_evidence(spark):
     rows = [(f"s{s}", r, f"v{v}", f"k{v % 2}", float(s * 7 + r * 3 + v), f"z{s % 2}") for s in range(4) for r in range(3) for v in range(6)]
     df = spark.createDataFrame(rows, "site string, rep int, brand string, colour string, weight double, zone string")
-    found = design.candidates(df)
+    found = design.candidates(design.rows_of(df))
     told = design.withheld(df, None, found, ["brand", "zone", "weight", "rep"])
     assert "brand" not in told and told["zone"] == "one value for each site" and told["rep"] == "named like a design column" and "measurement" in told["weight"]
-    assert set(design.withheld(df.drop("site", "rep"), None, design.candidates(df.drop("site", "rep")), ["brand"])) == {"brand"}
+    assert set(design.withheld(df.drop("site", "rep"), None, design.candidates(design.rows_of(df.drop("site", "rep"))), ["brand"])) == {"brand"}
     near = design.Design("CRD", {"CRD": 0.9, "RCBD": 0.89, "factorial": 0.1}, {}, ["brand"], [], withheld={"brand": "why"})
     assert near.recommended == [] and near.close == ["CRD", "RCBD"]
     assert design.Design("CRD", {"CRD": 0.9, "RCBD": 0.5}, {}).close == []
