@@ -787,7 +787,32 @@ def audit_value_set(spark, sf_dir):
     return audit.value_set(own, made, ["o_custkey"], "c_acctbal", "o_orderkey").select(F.round("pct", 6).alias("pct"), "n")
 
 
-@query(f"SELECT * FROM (VALUES ('o_orderkey', 'medium', 'passthrough'), ('o_custkey', 'low', 'passthrough'), ('o_orderstatus', 'low', 'passthrough'), ('o_totalprice', 'low', 'passthrough'), ('o_orderdate', 'low', 'passthrough'), ('o_orderpriority', 'low', 'aliased')) t(col, leakage_class, alias_status)")
+#: The settings of orders_plan: column, role, action.
+GIVEN = (("o_orderkey", "id", "keep"), ("o_custkey", "design", "keep"), ("o_orderstatus", "covariate", "scramble"), ("o_totalprice", "outcome", "scramble"), ("o_orderdate", "date", "scramble"), ("o_orderpriority", "treatment", "alias"))
+
+
+def _kind_sql(col: str) -> str:
+    return f"(SELECT CASE WHEN typeof({col}) IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN typeof({col}) IN ('DOUBLE', 'FLOAT') THEN 'numeric' WHEN typeof({col}) LIKE 'TIMESTAMP%' THEN 'datetime' WHEN typeof({col}) = 'DATE' THEN 'date' ELSE 'character' END FROM orders LIMIT 1)"
+
+
+def _found_sql(col: str, role: str, action: str, o: str, c: str) -> str:
+    """What the audit measures of a column, from the pairs and the clone."""
+    chance = f"(SELECT sum(n * n) / (sum(n) * sum(n)) FROM (SELECT count(*) AS n FROM pairs GROUP BY {o}))"
+    return f"""SELECT '{col}' AS col, '{role}' AS role, '{action}' AS action, {_kind_sql(col)} AS kind, CASE WHEN (SELECT count(*) FROM clone WHERE CAST({col} AS VARCHAR) IN (SELECT CAST({col} AS VARCHAR) FROM orders)) = 0 THEN 'aliased' ELSE 'passthrough' END AS alias_status,
+ (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY {col})) AS freq_min, (SELECT 100 * avg(CAST({o} = {c} AS INT)) FROM pairs) AS exact, (SELECT 100 * avg(CAST({o} = {c} AS INT)) FROM pairs) - 100 * {chance} AS excess, 100 * sqrt({chance} * (1 - {chance}) / (SELECT count(*) FROM pairs)) AS sd"""
+
+
+MEASURED = {"o_orderkey": ("o_orderkey", "o_orderkey"), "o_custkey": ("oc", "cc"), "o_orderstatus": ("os", "cs"), "o_totalprice": ("ot", "ct"), "o_orderdate": ("od", "cd"), "o_orderpriority": ("op", "op")}
+#: The rules that can hold for these columns: none is personal, displaced, drawn by units, two-valued or scrambled from whole numbers.
+CLASSED = f"""
+WITH clone AS {CLONE}, pairs AS (SELECT p.*, o.o_custkey AS oc, c.o_custkey AS cc FROM {PAIRS} p JOIN orders o USING (o_orderkey) JOIN clone c USING (o_orderkey)),
+found AS ({" UNION ALL ".join(_found_sql(col, role, action, *MEASURED[col]) for col, role, action in GIVEN)}),
+classed AS (SELECT *, CASE WHEN role = 'outcome' AND action = 'keep' THEN 'high' WHEN role = 'treatment' AND alias_status = 'passthrough' THEN 'high' WHEN role = 'covariate' AND kind = 'character' AND freq_min = 1 THEN 'high'
+ WHEN (role = 'outcome' AND exact > 1) OR (role = 'covariate' AND kind = 'numeric' AND exact > 5) THEN 'medium'
+ WHEN role NOT IN ('design', 'treatment', 'id') AND kind IN ('character', 'date', 'datetime') AND excess >= 10 AND excess >= 4 * sd THEN 'medium' WHEN action = 'keep' AND role <> 'design' THEN 'medium' ELSE 'low' END AS leakage_class FROM found)"""
+
+
+@query(CLASSED + " SELECT col, leakage_class, alias_status FROM classed")
 def audit_classes(spark, sf_dir):
     got = orders_clone(spark, sf_dir, "collaborate")
     return spark.createDataFrame([(r["col"], r["leakage_class"], r["alias_status"]) for r in got.columns], "col string, leakage_class string, alias_status string")
@@ -810,8 +835,9 @@ def audit_unit_sizes(spark, sf_dir):
     return audit.unit_sizes(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
 
 
-@query("SELECT 'collaborate' AS mode, 'review' AS status UNION ALL SELECT 'local', 'local'")
+@query(CLASSED + " SELECT 'collaborate' AS mode, CASE WHEN bool_or(leakage_class = 'high') THEN 'blocked' WHEN bool_or(leakage_class = 'medium') THEN 'review' ELSE 'clear' END AS status FROM classed UNION ALL SELECT 'local', 'local'")
 def release_status(spark, sf_dir):
+    """By the worst finding; columns that are permuted or drawn apart have no joint ones."""
     done = [orders_clone(spark, sf_dir, m) for m in ("collaborate", "local")]
     return spark.createDataFrame([(d.mode, d.status()) for d in done], "mode string, status string")
 
@@ -828,7 +854,7 @@ def data_card_columns(spark, sf_dir):
     return card.card_columns(lineitem(spark, sf_dir).select(*(c for c, _ in LINES)))
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'id', 'keep', 'integer'), ('o_custkey', 'design', 'keep', 'integer'), ('o_orderstatus', 'covariate', 'scramble', 'character'), ('o_totalprice', 'outcome', 'scramble', 'numeric'), ('o_orderdate', 'date', 'scramble', 'datetime'), ('o_orderpriority', 'treatment', 'alias', 'character')) t(col, role, action, kind)")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, '{role}' AS role, '{action}' AS action, {_kind_sql(c)} AS kind" for c, role, action in GIVEN))
 def public_roles(spark, sf_dir):
     rows = orders_clone(spark, sf_dir).public_roles()
     return spark.createDataFrame([(r["col"], r["role"], r["action"], r["kind"]) for r in rows], "col string, role string, action string, kind string")
