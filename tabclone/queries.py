@@ -837,7 +837,7 @@ def audit_unit_sizes(spark, sf_dir):
 
 @query(CLASSED + " SELECT 'collaborate' AS mode, CASE WHEN bool_or(leakage_class = 'high') THEN 'blocked' WHEN bool_or(leakage_class = 'medium') THEN 'review' ELSE 'clear' END AS status FROM classed UNION ALL SELECT 'local', 'local'")
 def release_status(spark, sf_dir):
-    """By the worst finding; columns that are permuted or drawn apart have no joint ones."""
+    """By the worst finding; the SQL has those of columns alone, so a high one of whole rows would differ."""
     done = [orders_clone(spark, sf_dir, m) for m in ("collaborate", "local")]
     return spark.createDataFrame([(d.mode, d.status()) for d in done], "mode string, status string")
 
