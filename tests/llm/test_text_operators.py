@@ -325,6 +325,28 @@ def test_quality_rules_of_long_and_odd_texts(spark):
         q = r["q"]
         assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == brute_statistics(r["text"])
 
+def test_quality_statistics_of_texts_in_slices(spark, monkeypatch):
+    """Texts whose words don't fit an executor are cut into slices; the figures are those of the whole text."""
+    monkeypatch.setattr(quality_rules, "WHOLE", 30)
+    monkeypatch.setattr(quality_rules, "SLICE", 16)
+    rnd = random.Random(10)
+    texts = [None, "", "a b c d", "é" * 16, "x" * 100, " " * 100, "\n" * 50 + "a", "a b c d e " + " " * 60 + "a\tb c\x0bd e", "one\n" * 30, "w" * 70 + " b c d e\r" + "w" * 70 + " b c d e", "A#b \U0001f600 c! É\n" * 12, LONG[:3000]]
+    texts += ["".join(rnd.choice(("a", "b", "cc", " ", " ", "\n", "\t", "D?", "\u00a0", "dddddd")) for _ in range(rnd.randrange(20, 300))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, i, i % 3) for i, t in enumerate(texts)], "doc_id int, text string, stats int, _long int")
+    got = {r["doc_id"]: r for r in quality_rules.judge(df, [], into="q").collect()}
+    assert len(got) == len(texts) and sum(len(t or "") > 30 for t in texts) > 60
+    for i, t in enumerate(texts):
+        q = got[i]["q"]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == brute_statistics(t or ""), t
+        assert (q["n_upper"], q["n_marks"]) == (len(re.findall("[A-ZÀ-ÖØ-Þ]", t or "")), len(re.findall("[!?]", t or ""))), t
+        assert got[i]["text"] == t and got[i]["stats"] == i
+    docs, labels = labelled()
+    df, known = spark.createDataFrame(docs, "doc_id bigint, text string, stats string, rule int"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    sliced = quality_rules.train(df, known)
+    monkeypatch.undo()
+    assert sliced == quality_rules.train(df, known)
+
+
 def test_line_dedup(spark):
     block = "\n".join(f"line {i} of a passage that many documents hold" for i in range(12))
     long = " ".join(f"word{i}" for i in range(60))
