@@ -1,12 +1,13 @@
 """What grows with the rows: no plan broadcasts a table that its own steps have multiplied, and none does work twice."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabclone.functions import rng
-from tabclone.operators import copula
+from tabclone.operators import audit, copula, profile
 
 SEED = "11"
 
@@ -36,3 +37,21 @@ def test_copula_of_few_values_broadcasts_no_positions(spark, by):
         x = held[r["g"] if by else 1]
         want[r["id"]] = None if r["v"] is None else x[max(1, min(len(x), math.ceil(len(x) * r["u"] - 4 * 2.220446049250313e-16))) - 1]
     assert {r["id"]: r["v"] for r in new.collect()} == want
+
+
+def test_draws_broadcast_no_multiplied_rows(spark):
+    ids = spark.range(300).select(F.col("id").alias("__rid"), (F.col("id") % 3).cast("string").alias("o|a"), (F.col("id") % 5).alias("o|b"), F.lit("f").alias("o|f"))
+    drawn = audit._draw(ids, ["a", "b"], {"b": ["a"]}, 4, ["a", "f"])
+    told = plan(drawn)
+    assert "SortMergeJoin" in told and not re.search(r"BroadcastHashJoin \[[^\]]*__(rid|k)", told)
+    rows = drawn.collect()
+    assert len(rows) == 1200 and {(r["__draw"], r["__rid"]) for r in rows} == {(d, i) for d in range(1, 5) for i in range(300)}
+    assert all(r["o|a"] == str(r["__rid"] % 3) and r["o|f"] == "f" for r in rows)
+    assert sorted(r["p|b"] for r in rows if r["__draw"] == 1 and r["o|a"] == "0") == sorted(i % 5 for i in range(0, 300, 3))
+
+
+def test_profile_deals_labels_out(spark):
+    df = spark.range(500).select((F.col("id") % 40).cast("string").alias("a"), F.when(F.col("id") > 9, F.col("id").cast("string")).alias("b"), (F.col("id") % 2 == 0).alias("c"), "id").coalesce(1)
+    assert profile.label_counts(df, ["a", "b", "c"]) == {"a": 40, "b": 490, "c": 2} and profile.label_counts(df, []) == {}
+    found = {p.col: p for p in profile.profile(df)}
+    assert (found["a"].distinct, found["b"].distinct, found["b"].missing, found["id"].distinct) == (40, 490, 10, None)
