@@ -1,5 +1,6 @@
 """What grows with the rows: no plan broadcasts a table that its own steps have multiplied, and none does work twice."""
 
+import hashlib
 import math
 import re
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabclone.functions import rng
 from tabclone.operators import audit, copula, profile
+from tabclone.operators.ranking import hash_index
 
 SEED = "11"
 
@@ -55,3 +57,12 @@ def test_profile_deals_labels_out(spark):
     assert profile.label_counts(df, ["a", "b", "c"]) == {"a": 40, "b": 490, "c": 2} and profile.label_counts(df, []) == {}
     found = {p.col: p for p in profile.profile(df)}
     assert (found["a"].distinct, found["b"].distinct, found["b"].missing, found["id"].distinct) == (40, 490, 10, None)
+
+
+def test_index_carries_bytes_and_leaves_out_what_only_its_digest_needs(spark):
+    df = spark.range(200).select("id", (F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    got = hash_index(df, F.md5(F.col("id").cast("string")), "k", ["g"], without=["id"])
+    assert got.columns == ["g", "v", "k"]
+    for g in (0, 1):
+        want = sorted(range(g, 200, 2), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert [r["v"] for r in got.where(f"g = {g}").orderBy("k").collect()] == want
